@@ -110,26 +110,50 @@ _BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
 _PLACE = mix64(np.arange(1000, 1256, dtype=np.uint64)) | np.uint64(1)
 
 
-def words(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray | None = None, kept: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, start, end, 64-bit hash) of each word: the longest runs of bytes that aren't white space, in order, none across rows.
 
-    letters: what to hash in place of the bytes (say, lower-cased)."""
+    letters: the bytes to hash in place of the text's (say, lower-cased). kept: which of them count (default: all)."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, none, np.zeros(0, np.uint64)
     inside = ~_IS_SPACE[data]
     first = np.zeros(len(data) + 1, bool)
     first[offsets] = True
-    start = np.flatnonzero(inside & (first[:-1] | ~np.concatenate([[False], inside[:-1]])))
-    end = np.flatnonzero(inside & (first[1:] | ~np.concatenate([inside[1:], [False]]))) + 1
+    edge = np.empty(len(data), bool)
+    edge[0] = True
+    np.logical_not(inside[:-1], out=edge[1:])
+    start = np.flatnonzero(inside & (edge | first[:-1]))
+    edge[-1] = True
+    np.logical_not(inside[1:], out=edge[:-1])
+    end = np.flatnonzero(inside & (edge | first[1:])) + 1
     row = np.searchsorted(offsets, start, side="right") - 1
     if not len(start):
         return row, start, end, np.zeros(0, np.uint64)
-    places = np.arange(len(data)) - np.repeat(start, np.diff(start, append=len(data)))[-len(data) :] if start[0] == 0 else None
-    if places is None:
-        places = np.arange(len(data))
-        places[start[0] :] -= np.repeat(start, np.diff(start, append=len(data)))
-    codes = _BYTE[data if letters is None else letters] * (_PLACE[places & 255] + (places >> 8).astype(np.uint64))
-    codes[~inside] = 0
-    h = np.add.reduceat(codes, start)
-    return row, start, end, mix64(h + (end - start).astype(np.uint64))
+    counted = inside if kept is None else inside & kept
+    upto = np.cumsum(counted, dtype=np.int64) - counted
+    place = upto[start[0] :] - np.repeat(upto[start], np.diff(start, append=len(data)))
+    codes = _BYTE[(data if letters is None else letters)[start[0] :]] * (_PLACE[place & 255] + (place >> 8).astype(np.uint64))
+    codes[~counted[start[0] :]] = 0
+    return row, start, end, mix64(np.add.reduceat(codes, start - start[0]))
+
+
+#: Byte classes of UTF-8 text.
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def lowered(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes in lower case, where they were capitals): A to Z and the accented Latin-1 capitals, whose second byte is 0x80 to 0x9E after 0xC3."""
+    low = _LOWER[data]
+    accented = np.zeros(len(data), bool)
+    accented[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+    low[accented] += 0x20
+    return low, (low != data)
+
+
+def sums(mask: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """How often mask holds in each range."""
+    upto = np.zeros(len(mask) + 1, np.int32)
+    np.cumsum(mask, out=upto[1:], dtype=np.int32)
+    return (upto[end] - upto[start]).astype(np.float64)
