@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from marlspike.llm.common import SPACE, delete, written
 
 FIRST_BYTES = 64
-GROWTH = 4
+GROWTH = 64
 
 
 def normalised(text: Column) -> Column:
@@ -45,7 +45,8 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", carry
             .withColumn("next", F.monotonically_increasing_id())
         )
         groups = written(groups, "radix-groups")  # fixes the numbers of the groups
-        split = cut.join(groups, ["gid", "block", "ended"], "left")
+        # sorted and merged at every size: a plan that changes with the size of the groups can't be measured on a small input
+        split = cut.hint("merge").join(groups, ["gid", "block", "ended"], "left")
         resolved = F.col("size").isNull() | F.col("ended")
         rest = F.when(~resolved, F.substring(F.col("rest"), width + 1, 2**31 - 1))
         table = written(
