@@ -173,7 +173,11 @@ def fit(table: pa.Table, steps: int = 80) -> Field:
     if not len(y) or y.min() == y.max():
         rate = np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99)
         return Field(np.zeros(width), np.zeros((2, 2)), 0.0, float(np.log(rate / (1 - rate))))
-    row, length, x = line_features(*flat(table.column("text")))
+    parts = []
+    for begin in range(0, len(y), 250):  # so that what stands beside the texts stays small
+        r, n, f = line_features(*flat(table.column("text").slice(begin, 250)))
+        parts.append((r + begin, n, f))
+    row, length, x = (np.concatenate(c) for c in zip(*parts, strict=True))
     weight = np.maximum(length, 1) / np.maximum(np.bincount(row, np.maximum(length, 1))[row], 1)
     first = _logistic(x, y[row], weight, 1.0)
     good = x @ first

@@ -121,10 +121,14 @@ def features(data: np.ndarray, offsets: np.ndarray, strong: np.ndarray, strong_o
 _YOU = np.sort(word_hashes(SECOND_PERSON))
 
 
-def lexicon(data: np.ndarray, offsets: np.ndarray, y: np.ndarray, most: int = 500) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def lexicon(texts: pa.ChunkedArray, y: np.ndarray, most: int = 500) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(strong hashes sorted, their log-odds, mild hashes sorted): words in more of the toxic documents than of the others."""
-    row, _, _, h, *_ = read_words(data, offsets)
-    pairs = np.unique(np.stack([row.astype(np.uint64), h], 1), axis=0) if len(h) else np.zeros((0, 2), np.uint64)
+    found = [np.zeros((0, 2), np.uint64)]
+    for begin in range(0, len(y), 250):
+        row, _, _, h, *_ = read_words(*flat(texts.slice(begin, 250)))
+        if len(h):
+            found.append(np.unique(np.stack([(row + begin).astype(np.uint64), h], 1), axis=0))
+    pairs = np.concatenate(found)
     names, inverse = np.unique(pairs[:, 1], return_inverse=True)
     toxic = np.bincount(inverse, y[pairs[:, 0].astype(int)], len(names))
     clean = np.bincount(inverse, minlength=len(names)) - toxic
@@ -241,10 +245,9 @@ def fit(table: pa.Table) -> Model:
         return Model(none, none, none, None, none, np.array([np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99)]))
     # every fourth row calibrates; another fourth finds the lexicon only, so that the trees learn what its words are worth on other rows
     turn = np.arange(len(y)) % 4
-    part = lambda mask: flat(table.filter(pa.array(mask)).column("text"))
     words_of = (turn == 1) | (turn == 2)
-    strong, odds, mild = lexicon(*part(words_of), y[words_of])
-    x = np.concatenate([features(*flat(t), strong, odds, mild) for t in (table.slice(i, 500).column("text") for i in range(0, len(y), 500))])
+    strong, odds, mild = lexicon(table.filter(pa.array(words_of)).column("text"), y[words_of])
+    x = np.concatenate([features(*flat(t), strong, odds, mild) for t in (table.slice(i, 250).column("text") for i in range(0, len(y), 250))])
     fitted = turn != 0
     trees = boost(x[fitted], y[fitted])
     knots, values = isotonic(trees.raw(x[~fitted]), y[~fitted])
