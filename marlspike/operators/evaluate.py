@@ -124,7 +124,7 @@ class Subject:
 
     @classmethod
     def from_program(cls, name: str, compile_: Callable) -> Subject:
-        return cls(name, lambda: lambda df: (p := compile_(df.schema)).transform(df, keep=["name", "expected"], name="actual") if p else df, "program")
+        return cls(name, lambda: lambda df: compile_(df.schema).transform(df, keep=["name", "expected"], name="actual"), "program")
 
 
 def run_benchmark(subjects: list[Subject], scenarios: list[Scenario], run_id: str = "run-001") -> tuple[DataFrame, list[dict]]:

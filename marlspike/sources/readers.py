@@ -60,6 +60,11 @@ def _first_bytes(spark: SparkSession, path: str, n: int = 2048) -> str:
         stream.close()
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+
+
 def read_csv(spark: SparkSession, path: str) -> Dataset:
     """CSV with a header; the delimiter is sniffed from the first 2 KiB, comma in doubt. All values are texts, empty ones
     null; short rows are filled with nulls, surplus cells ignored."""
