@@ -190,11 +190,11 @@ class Page:
         return "\n".join(b[4] for b in kept if self._in(b[0], best))
 
     def _in(self, path: int, slots: frozenset[int]) -> bool:
-        while path:
-            if path in slots:
-                return True
+        while path not in slots:
+            if not path:  # the page itself
+                return False
             path = self.paths[path][0]
-        return False
+        return True
 
     def tokens(self) -> list[tuple]:
         """(path, parent, times, outside, article, characters outside links, hash of the text) of each container."""

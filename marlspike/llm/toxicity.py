@@ -45,15 +45,17 @@ def read_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """(row, start, end, hash, disguised, low, capital) of each word, read as letters: case, disguises and marks are undone, and a word's own end marks don't count."""
     low, capital = lowered(data)
     letter = _LETTER[low]
-    # a digit or symbol reads as a letter only between letters or disguises of one word; at a word's end it is a mark
+    # a digit or symbol reads as a letter where a letter of the same word follows; else it is a mark
     read = _READ[low]
-    disguise = ~letter & _LETTER[read]
-    beside = np.zeros(len(data), bool)
-    if len(data):
-        body = letter | disguise
-        beside[:-1] |= letter[1:] | (disguise[1:] & np.append(body[2:], False))
-        beside[-1:] = False
-    as_letter = letter | (disguise & beside)
+    n = len(data)
+    place = np.arange(n + 1, dtype=np.int32)
+    stop = np.full(n + 1, n, np.int32)
+    np.copyto(stop[:n], place[:n], where=data <= 32)
+    stop[offsets] = offsets
+    following = np.full(n + 1, n, np.int32)
+    np.copyto(following[:n], place[:n], where=letter)
+    behind = lambda v: np.minimum.accumulate(v[::-1])[::-1][1:]
+    as_letter = letter | (~letter & _LETTER[read] & (behind(following) < behind(stop)))
     row, start, end, h = words(data, offsets, np.where(as_letter, read, low), as_letter)
     odd = sums(as_letter & ~letter, start, end)
     # marks between the letters of a word
