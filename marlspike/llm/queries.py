@@ -97,6 +97,21 @@ queued AS (
 run AS (SELECT *, sum(size) OVER (ORDER BY finish, rank, h, doc_id, size, epoch ROWS UNBOUNDED PRECEDING) AS upto FROM queued)
 SELECT doc_id, size, source_size, target, CAST(sum(CASE WHEN upto <= (SELECT sum(source_size) FROM sizes) THEN size ELSE 0 END) AS BIGINT) AS taken
 FROM run GROUP BY doc_id, size, source_size, target
+""",
+    "op10_suffix_dedup": r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+w AS (SELECT doc_id, unnest(range(n - 99)) AS p, h FROM d WHERE n >= 100),
+f AS (SELECT doc_id, p, row_number() OVER (PARTITION BY substr(h, 2 * p + 1, 200) ORDER BY doc_id, p) AS turn FROM w),
+g AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 100 THEN 0 ELSE 1 END AS fresh FROM f WHERE turn > 1),
+i AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS island FROM g),
+s AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM i GROUP BY doc_id, island),
+k AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s),
+r AS (SELECT k.doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, max(b) AS last_end,
+             string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept
+      FROM k JOIN d ON d.doc_id = k.doc_id GROUP BY k.doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(from_hex(coalesce(kept || substr(h, 2 * last_end + 1), h))) AS kept_sha256
+FROM d LEFT JOIN r ON r.doc_id = d.doc_id
 """,
     "op9_exact_dedup": r"""
 WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256,
