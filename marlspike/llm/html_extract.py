@@ -3,7 +3,7 @@
 A page's containers (body, div, nav, article ...) are tokens, named by their path of tags and classes. Over the pages of
 one host each token has an occurrence vector: how often it occurs in each page. Tokens with one vector are an equivalence
 class; classes with enough pages and tokens make up the host's template, nested as their paths are. Containers of the
-template are its slots. The slots that hold the main text are those inside an article or main element; where a host has
+template are its slots. The slots that hold the main text are those inside article or main elements; where a host has
 none, the slot with most text outside links that varies between pages. What menus, headers, footers, sidebars, notices,
 adverts, forms and comments hold is never in such a slot.
 
@@ -33,7 +33,8 @@ LEAST_TOKENS = 2
 CONTAINERS = frozenset("html body div section article main nav aside header footer form ul ol dl table tr td th tbody fieldset details dialog menu figure center".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre hr address caption figcaption thead tfoot summary legend hgroup".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg math iframe object canvas audio video select option button head".split())
+RAW = frozenset("script style textarea title noscript template iframe svg math object canvas audio video select button head".split())
+RAW_TO_END = frozenset("script style textarea title".split())
 OUTSIDE = frozenset("nav aside footer form dialog menu fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 OUTSIDE_WORDS = frozenset(
@@ -46,6 +47,11 @@ HEADER_WORDS = frozenset("header headers".split())
 MAIN_WORDS = frozenset("article articlebody post postbody entry story maincontent".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
+#: How surely an element is the article: an article element, a main element, or a name alone. Of these the surest counts that holds
+#: at least SHARE of the text that isn't outside.
+ARTICLE, MAIN, NAMED = 3, 2, 1
+SHARE = 0.4
+
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -58,13 +64,15 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 class Page:
-    """Blocks (path, outside, article, characters in links, text) and container paths of one page, in order."""
+    """Blocks (path, outside, article, characters in links, text) and container paths of one page, in order.
+
+    outside is 1 in a form, from which an article inside comes back (some sites wrap all in a form), 2 in what else isn't text."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[int, bool, bool, int, str]] = []
+        self.blocks: list[tuple[int, bool, int, int, str]] = []
         self.paths: dict[int, list] = {}  # path: [parent, times, outside, article]
         # (tag, path, outside, article, in header)
-        self.stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
+        self.stack: list[tuple[str, int, int, int, bool]] = [("", 0, 0, 0, False)]
         self.text: list[str] = []
         self.linked = 0
         self.in_link = 0
@@ -76,7 +84,7 @@ class Page:
             text = " ".join(html.unescape("".join(self.text)).split())
             if text:
                 _, path, outside, article, header = self.stack[-1]
-                self.blocks.append((path, outside or (header and not (article and self.heading)), article, self.linked, text))
+                self.blocks.append((path, outside > 0 or (header and not (article and self.heading)), article, self.linked, text))
             self.text = []
         self.linked = 0
 
@@ -89,16 +97,23 @@ class Page:
             wide = tag not in ("html", "body")
             hidden = "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower()
             role = found.get("role", "").lower()
+            if tag == "article" or role == "article" or found.get("itemprop", "").lower() == "articlebody":
+                level = ARTICLE
+            elif tag == "main" or role == "main":
+                level = MAIN
+            else:
+                level = NAMED if wide and tag in CONTAINERS and not named.isdisjoint(MAIN_WORDS) else 0
+            article = max(article, level)
+            if level >= MAIN and outside == 1:
+                outside = 0
             if tag in OUTSIDE or (wide and (hidden or role in ROLES or not named.isdisjoint(OUTSIDE_WORDS))):
-                outside = True
+                outside = max(outside, 1 if tag == "form" and named.isdisjoint(OUTSIDE_WORDS) and not hidden else 2)
             if tag == "header" or (wide and not named.isdisjoint(HEADER_WORDS) and tag in CONTAINERS):
                 header = True
-            if tag in ("article", "main") or role in ("main", "article") or found.get("itemprop", "").lower() == "articlebody" or (wide and tag in CONTAINERS and not named.isdisjoint(MAIN_WORDS)):
-                article = True
         if tag in CONTAINERS:
             label = " ".join(sorted(w for w in _SPLIT.split(found.get("class", "").lower()) if w))
             parent, path = path, xxhash.xxh64_intdigest(f"{path}/{tag}.{label}") >> 1
-            seen = self.paths.setdefault(path, [parent, 0, outside, article])
+            seen = self.paths.setdefault(path, [parent, 0, outside > 0, article])
             seen[1] += 1
         self.stack.append((tag, path, outside, article, header))
 
@@ -154,9 +169,9 @@ class Page:
                     low = source.lower()
                 end = low.find(f"</{tag}", at)
                 if end < 0:
-                    # without an end, it holds the rest of the page; a head, what comes before the body
-                    end = low.find("<body", at) if tag == "head" else n
-                    at = n if end < 0 else end
+                    # without an end, a script holds the rest of the page, a head what comes before the body, and others nothing
+                    end = low.find("<body", at) if tag == "head" else -1
+                    at = end if end >= 0 else n if tag in RAW_TO_END else at
                 else:
                     at = low.find(">", end) + 1 or n
                 continue
@@ -175,10 +190,13 @@ class Page:
         self._flush()
 
     def main_text(self, slots: frozenset[int]) -> str:
-        """The blocks in an article; else those in the host's main slots; else, of the containers that are neither menus nor the like, those of the one with most text outside links."""
+        """The blocks in the surest article; else those in the host's main slots; else, of the containers that are neither menus nor the like, those of the one with most text outside links."""
         kept = [b for b in self.blocks if not b[1]]
-        if any(b[2] for b in kept):
-            return "\n".join(b[4] for b in kept if b[2])
+        total = sum(len(b[4]) for b in kept)
+        for level in (ARTICLE, MAIN, NAMED):
+            inside = [b[4] for b in kept if b[2] >= level]
+            if inside and sum(map(len, inside)) >= SHARE * total:
+                return "\n".join(inside)
         if slots and (inside := [b for b in kept if self._in(b[0], slots)]):
             return "\n".join(b[4] for b in inside)
         weight: dict[int, int] = {}
@@ -212,13 +230,13 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, page, source in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             rows += [(host, page, *t) for t in Page(source).tokens()] if source else []
         columns = list(zip(*rows, strict=True)) or [()] * 9
-        types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64()]
+        types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["host", "page", "path", "parent", "times", "outside", "article", "chars", "said"])
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, slots): of rows (host, page, html) the paths of each host's main slots; hosts without a template have no row."""
-    tokens = pages.mapInArrow(_tokens, "host string, page long, path long, parent long, times long, outside boolean, article boolean, chars long, said long")
+    tokens = pages.mapInArrow(_tokens, "host string, page long, path long, parent long, times long, outside boolean, article int, chars long, said long")
     vectors = tokens.groupBy("host", "path").agg(
         F.count("*").alias("pages"),
         F.expr("bit_xor(xxhash64(page, times))").alias("vector"),
@@ -236,7 +254,7 @@ def templates(pages: DataFrame) -> DataFrame:
     nested = valid.join(up, ["host", "parent"], "left").where("nested OR parent = 0")
     slots = nested.where("NOT outside AND varies AND chars > 0")
     slots = slots.groupBy("host").agg(
-        F.collect_list(F.when(F.col("article"), F.col("path"))).alias("articles"),
+        F.collect_list(F.when(F.col("article") >= MAIN, F.col("path"))).alias("articles"),
         F.max_by("path", F.struct("chars", "path")).alias("largest"),
     )
     return slots.select("host", F.when(F.size("articles") > 0, F.col("articles")).otherwise(F.array("largest")).alias("slots"))
