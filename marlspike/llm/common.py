@@ -110,13 +110,14 @@ _BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
 _PLACE = mix64(np.arange(1000, 1256, dtype=np.uint64)) | np.uint64(1)
 
 
-def words(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray | None = None, kept: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray | None = None, kept: np.ndarray | None = None, stems: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
     """(row, start, end, 64-bit hash) of each word: the longest runs of bytes that aren't white space, in order, none across rows.
 
-    letters: the bytes to hash in place of the text's (say, lower-cased). kept: which of them count (default: all)."""
+    letters: the bytes to hash in place of the text's (say, lower-cased). kept: which of them count (default: all).
+    stems: lengths in bytes; for each a further array, the hash of the word's beginning, 0 where the word isn't longer."""
+    none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
     if not len(data):
-        none = np.zeros(0, np.int64)
-        return none, none, none, np.zeros(0, np.uint64)
+        return none[0], none[0], none[0], none[1], *(none[1] for _ in stems)
     inside = ~_IS_SPACE[data]
     first = np.zeros(len(data) + 1, bool)
     first[offsets] = True
@@ -129,13 +130,21 @@ def words(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray | None = No
     end = np.flatnonzero(inside & (edge | first[1:])) + 1
     row = np.searchsorted(offsets, start, side="right") - 1
     if not len(start):
-        return row, start, end, np.zeros(0, np.uint64)
+        return row, start, end, none[1], *(none[1] for _ in stems)
     counted = inside if kept is None else inside & kept
     upto = np.cumsum(counted, dtype=np.int64) - counted
     place = upto[start[0] :] - np.repeat(upto[start], np.diff(start, append=len(data)))
     codes = _BYTE[(data if letters is None else letters)[start[0] :]] * (_PLACE[place & 255] + (place >> 8).astype(np.uint64))
     codes[~counted[start[0] :]] = 0
-    return row, start, end, mix64(np.add.reduceat(codes, start - start[0]))
+    whole = mix64(np.add.reduceat(codes, start - start[0]))
+    if not stems:
+        return row, start, end, whole
+    size = upto[end - 1] + counted[end - 1] - upto[start]
+    out = []
+    for n in sorted(stems, reverse=True):
+        codes[place >= n] = 0
+        out.append(np.where(size > n, mix64(np.add.reduceat(codes, start - start[0]) + np.uint64(n)), 0))
+    return row, start, end, whole, *out[::-1]
 
 
 #: Byte classes of UTF-8 text.

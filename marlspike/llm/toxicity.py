@@ -2,8 +2,8 @@
 
 A document becomes some twenty numbers: densities of a lexicon's words, how near they stand to the second person, shares
 of capitals and of punctuation, and rates of obfuscation (a lexicon's word spelt with digits, symbols or marks between its
-letters). The lexicon is a few seeds and the words that the labelled sample holds far more often in toxic documents. Trees
-are fitted to the larger part of the sample by Newton boosting on quantile bins; the rest calibrates their sum by pooling
+letters). The lexicon is a few seeds, and the words and stems (beginnings of words, as lexicons list them for their endings)
+that the labelled sample holds far more often in toxic documents. Trees are fitted to the larger part of the sample by Newton boosting on quantile bins; the rest calibrates their sum by pooling
 adjacent violators.
 """
 
@@ -23,6 +23,10 @@ from marlspike.llm.common import flat, held_out, labelled_sample, lowered, slice
 #: At most so many labelled documents are gathered to fit the model.
 SAMPLE = 8000
 THRESHOLD = 0.5
+#: Lengths in bytes of the beginnings that may be stems.
+STEMS = (4, 5, 6, 7, 8)
+#: A word belongs to the lexicon from this log-likelihood ratio on.
+SURE = 12.0
 #: A word is near the second person within so many words.
 NEAR = 4
 #: Words that insult in English; the sample gives the others.
@@ -42,7 +46,7 @@ _PUNCT[list(b".,;:?!'\"()-#$%&*|/@_")] = True
 
 
 def read_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(row, start, end, hash, disguised, low, capital) of each word, read as letters: case, disguises and marks are undone, and a word's own end marks don't count."""
+    """(row, start, end, hashes, disguised, low, capital) of each word, read as letters: case, disguises and marks are undone, and a word's own end marks don't count. hashes: of the word and its stems."""
     low, capital = lowered(data)
     letter = _LETTER[low]
     # a digit or symbol reads as a letter where a letter of the same word follows; else it is a mark
@@ -56,7 +60,7 @@ def read_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     np.copyto(following[:n], place[:n], where=letter)
     behind = lambda v: np.minimum.accumulate(v[::-1])[::-1][1:]
     as_letter = letter | (~letter & _LETTER[read] & (behind(following) < behind(stop)))
-    row, start, end, h = words(data, offsets, np.where(as_letter, read, low), as_letter)
+    row, start, end, *hashes = words(data, offsets, np.where(as_letter, read, low), as_letter, STEMS)
     odd = sums(as_letter & ~letter, start, end)
     # marks between the letters of a word
     first = np.where(letter, np.arange(len(data)), 0)
@@ -65,22 +69,40 @@ def read_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         last = np.maximum.accumulate(first)[end - 1]
         mark = ~as_letter & (data != 39) & (data != 45)
         inner = sums(mark, start, np.clip(last, start, end))
-    return row, start, end, h, (odd + inner) > 0, low, capital
+    return row, start, end, hashes, (odd + inner) > 0, low, capital
 
 
 def word_hashes(strings: list[str]) -> np.ndarray:
-    return read_words(*flat(pa.array(strings, pa.string())))[3]
+    return read_words(*flat(pa.array(strings, pa.string())))[3][0]
+
+
+def _among(hashes: list[np.ndarray], listed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word, place in listed) of each hash in a sorted list; few are, so most leave by a table of their first bits."""
+    table = np.zeros(1 << 16, bool)
+    table[(listed >> np.uint64(48)).astype(np.int64)] = True
+    words_, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for h in hashes if len(listed) else []:
+        some = np.flatnonzero(table[(h >> np.uint64(48)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(listed, h[some]), len(listed) - 1)
+        good = listed[at] == h[some]
+        words_.append(some[good])
+        places.append(at[good])
+    return np.concatenate(words_), np.concatenate(places)
 
 
 def features(data: np.ndarray, offsets: np.ndarray, strong: np.ndarray, strong_odds: np.ndarray, mild: np.ndarray) -> np.ndarray:
     """One line of numbers per row; strong (sorted hashes) and mild are the lexicon."""
     n = len(offsets) - 1
-    row, start, end, h, disguised, low, capital = read_words(data, offsets)
+    row, start, end, hashes, disguised, low, capital = read_words(data, offsets)
+    h = hashes[0]
     count = lambda weights=None: np.bincount(row, weights, n).astype(np.float64)
-    at = np.minimum(np.searchsorted(strong, h), max(len(strong) - 1, 0))
-    hit = (strong[at] == h) if len(strong) else np.zeros(len(h), bool)
-    odds = np.where(hit, strong_odds[at], 0) if len(strong) else np.zeros(len(h))
-    soft = np.isin(h, mild)
+    odds = np.zeros(len(h))
+    word, place = _among(hashes, strong)
+    np.maximum.at(odds, word, strong_odds[place])
+    hit = odds > 0
+    soft = np.zeros(len(h), bool)
+    soft[_among(hashes, mild)[0]] = True
+    soft &= ~hit
     you = np.isin(h, _YOU)
     upto = np.concatenate([[0], np.cumsum(you)])
     begin = np.searchsorted(row, np.arange(n + 1))
@@ -125,25 +147,29 @@ _YOU = np.sort(word_hashes(SECOND_PERSON))
 
 def lexicon(texts: pa.ChunkedArray, y: np.ndarray, most: int = 500) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(strong hashes sorted, their log-odds, mild hashes sorted): words in more of the toxic documents than of the others."""
-    found = [np.zeros((0, 2), np.uint64)]
+    names, toxic, clean = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
     for begin in range(0, len(y), 250):
-        row, _, _, h, *_ = read_words(*flat(texts.slice(begin, 250)))
-        if len(h):
-            found.append(np.unique(np.stack([(row + begin).astype(np.uint64), h], 1), axis=0))
-    pairs = np.concatenate(found)
-    names, inverse = np.unique(pairs[:, 1], return_inverse=True)
-    toxic = np.bincount(inverse, y[pairs[:, 0].astype(int)], len(names))
-    clean = np.bincount(inverse, minlength=len(names)) - toxic
+        row, _, _, hashes, *_ = read_words(*flat(texts.slice(begin, 250)))
+        parts = [np.unique(np.stack([row[h > 0].astype(np.uint64), h[h > 0]], 1), axis=0) for h in hashes]
+        pairs = np.concatenate(parts)
+        bad = y[pairs[:, 0].astype(np.int64) + begin]
+        names, inverse = np.unique(np.concatenate([names, pairs[:, 1]]), return_inverse=True)
+        toxic = np.bincount(inverse, np.concatenate([toxic, bad]), len(names))
+        clean = np.bincount(inverse, np.concatenate([clean, 1 - bad]), len(names))
     total = max(1, y.sum()), max(1, len(y) - y.sum())
     odds = np.log((toxic + 0.5) / total[0]) - np.log((clean + 0.5) / total[1])
-    enough = toxic >= max(3, 0.005 * total[0])
-    best = np.flatnonzero(enough & (odds > 2.0))
-    best = best[np.argsort(-toxic[best] * odds[best], kind="stable")[:most]]
+    # twice the log-likelihood ratio of a word's share in toxic documents against theirs in all: chance words stay out of a small sample
+    share, base = toxic / np.maximum(toxic + clean, 1), total[0] / (total[0] + total[1])
+    part = lambda n, p, q: np.where(n > 0, n * np.log(np.maximum(p, 1e-12) / q), 0)
+    surprise = 2 * (part(toxic, share, base) + part(clean, 1 - share, 1 - base))
+    enough = (toxic >= 3) & (odds > 1.0)
+    best = np.flatnonzero(enough & (surprise >= SURE))
+    best = best[np.argsort(-surprise[best], kind="stable")[:most]]
     found = dict(zip(names[best].tolist(), odds[best].tolist(), strict=True))
     for x in word_hashes(SEEDS).tolist():
         found.setdefault(x, 2.0)
     strong = np.array(sorted(found), np.uint64)
-    mild = np.sort(names[enough & (odds > 1.0) & (odds <= 2.0)])
+    mild = np.sort(names[enough & (surprise >= SURE / 2) & (surprise < SURE)])
     return strong, np.array([found[int(x)] for x in strong]), mild
 
 
@@ -168,7 +194,7 @@ class Trees:
         return out
 
 
-def boost(x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 3, rate: float = 0.15, bins: int = 48, ridge: float = 3.0, least: float = 4.0) -> Trees:
+def boost(x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 3, rate: float = 0.15, bins: int = 48, ridge: float = 3.0, least: float = 1.0) -> Trees:
     """Newton boosting of the logistic loss on quantile bins."""
     n, d = x.shape
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1], method="lower")) for j in range(d)]
@@ -245,12 +271,10 @@ def fit(table: pa.Table) -> Model:
     if len(y) < 8 or y.min() == y.max():
         none = np.zeros(0)
         return Model(none, none, none, None, none, np.array([np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99)]))
-    # every fourth row calibrates; another fourth finds the lexicon only, so that the trees learn what its words are worth on other rows
-    turn = np.arange(len(y)) % 4
-    words_of = (turn == 1) | (turn == 2)
-    strong, odds, mild = lexicon(table.filter(pa.array(words_of)).column("text"), y[words_of])
+    # every fourth row only calibrates
+    fitted = np.arange(len(y)) % 4 != 0
+    strong, odds, mild = lexicon(table.filter(pa.array(fitted)).column("text"), y[fitted])
     x = np.concatenate([features(*flat(t), strong, odds, mild) for t in (table.slice(i, 250).column("text") for i in range(0, len(y), 250))])
-    fitted = turn != 0
     trees = boost(x[fitted], y[fitted])
     knots, values = isotonic(trees.raw(x[~fitted]), y[~fitted])
     return Model(strong, odds, mild, trees, knots, values)
