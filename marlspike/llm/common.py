@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -45,6 +46,12 @@ def delete(df: DataFrame) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files that no plan uses any more; it does so when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of the documents whose labels no model may see."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))

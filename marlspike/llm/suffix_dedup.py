@@ -29,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlspike.llm.common import delete, flat, mix64, slices, written
+from marlspike.llm.common import delete, flat, mix64, release, slices, written
 
 LENGTH = 100
-GRAM = 16
+GRAM = 32  # a multiple of 8; short strings repeat by chance and would bring most anchors to the sort
 #: Bytes of keys that a task sorts at once, and that a range should hold.
 RUN_BYTES = 12 << 20
 RANGE_BYTES = 6 << 20
@@ -58,7 +58,12 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
         n = len(text) - gram + 1
         view = np.ndarray((n + gram - 8,), np.dtype("<u8"), buffer=text.data, strides=(1,))
         with np.errstate(over="ignore"):
-            h = mix64(view[:n] * np.uint64(0x9E3779B97F4A7C15) + (view[gram - 8 : gram - 8 + n] ^ np.uint64(0x5851F42D4C957F2D)) * np.uint64(0xD1B54A32D192ED03))
+            h = np.zeros(n, np.uint64)
+            for part in range(0, gram, 8):
+                h += view[part : part + n]
+                h *= np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(32)
+            h = mix64(h)
         low = np.uint64(24)
         key = ((h >> low) << low) | np.arange(n, dtype=np.uint64)
         span, least, width = length - gram + 1, key, 1
@@ -299,7 +304,7 @@ def _runs(entries_of, splitters: list[bytes]):
 def _keys_sample(entries_of, one_in: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            picked = [e[0] for e in entries_of(batch) if int.from_bytes(e[0][:4], "little") * 0x9E3779B1 % (1 << 32) * one_in < 1 << 32 or hash((e[2], e[3])) % one_in == 0]
+            picked = [e[0] for e in entries_of(batch) if (e[2] * 0x9E3779B1 + e[3] * 0x85EBCA6B) % 0xFFFFFFFB % one_in == 0]
             yield pa.RecordBatch.from_arrays([pa.array(picked, pa.binary())], ["key"])
 
     return run
@@ -365,9 +370,10 @@ def _sort(rows: DataFrame, entries_of, n_keys: int, n_bytes: int, length: int, g
     ranges = int(min(MOST_RANGES, max(1, n_bytes // RANGE_BYTES)))
     splitters: list[bytes] = []
     if ranges > 1:
-        # at most some 50 keys a range come to the driver
-        one_in = max(1, n_keys // (50 * ranges))
-        sample = sorted(set(rows.mapInArrow(_keys_sample(entries_of, one_in), "key binary").limit(200 * ranges).toArrow().column(0).to_pylist()))
+        # some 50 keys a range come to the driver, every eighth of a sample of rows
+        one_in = max(1, n_keys // (400 * ranges))
+        some = rows.where(F.pmod(F.xxhash64("id"), F.lit(one_in)) == 0)
+        sample = sorted(set(some.mapInArrow(_keys_sample(entries_of, 8), "key binary").limit(200 * ranges).toArrow().column(0).to_pylist()))
         splitters = sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
     runs = written(rows.mapInArrow(_runs(entries_of, splitters), "part int, block binary"), "suffix-runs")
     out = written(runs.where("part >= 0").groupBy("part").applyInArrow(_merge(length, gram), _MERGED), "suffix-merged")
@@ -411,16 +417,24 @@ def _anchor_rows(length: int, gram: int):
     return run
 
 
+def _repeated_anchors(found: DataFrame) -> DataFrame:
+    """(id, found): each document's anchors whose gram occurs elsewhere; a list is bounded by its document's length."""
+    twice = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    place = F.struct("at", "before", "after")
+    return written(found.join(twice, "gram").groupBy("id").agg(F.collect_list(place).alias("found")), "suffix-lists")
+
+
 def repeated_spans(numbered: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """(spans, texts): of rows (id, ord, text as bytes) the spans (id, start, stop) to remove, and the texts (id, text) in which they lie.
 
     Spans overlap; their union is what `length`-byte strings cover that also start earlier, by (ord, id, place)."""
     found = written(numbered.select("id", "text").mapInArrow(_anchor_rows(length, gram), "gram long, id long, at int, before short, after short"), "suffix-anchors")
-    twice = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    place = F.struct("at", "before", "after")
-    lists = found.join(twice, "gram").groupBy("id").agg(F.collect_list(place).alias("found"))  # bounded by the document's length
-    docs = written(numbered.join(lists, "id").select("ord", "id", "text", "found"), "suffix-docs")
+    lists = _repeated_anchors(found)
     delete(found)
+    del found
+    release(numbered.sparkSession)  # the anchors' shuffles, before the texts are shuffled
+    docs = written(numbered.join(lists, "id").select("ord", "id", "text", "found"), "suffix-docs")
+    delete(lists)
     size = F.expr("aggregate(found, 0L, (s, f) -> s + f.before + f.after)")
     n_keys, n_bytes = docs.agg(F.sum(F.size("found")), F.sum(size)).first()
     out, spans = _sort(docs, _entries_of_docs, n_keys or 0, n_bytes or 0, length, gram)
