@@ -18,7 +18,7 @@ from marlspike.llm.common import SPACE, written
 
 #: A source's target is at most so many times its size, and a document is repeated at most so often.
 MAX_REPEATS = 3
-ROWS_A_BIN = 20_000
+ROWS_A_BIN = 1_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
