@@ -10,7 +10,9 @@ Jaccard similarity.
 
 Documents with equal words are one class from the start. All documents of a band's bucket are compared with three of it;
 the components of the links found are merged; those of one bucket that are still in different components are then
-compared with each other. So a group of n near copies costs about 3 n comparisons a bucket, and no link is lost.
+compared with each other, in a large bucket only where they share an element of their prefixes: the rarest fifth of their
+shingles, of which two documents at the threshold always share one. So a group of n near copies costs about 3 n comparisons
+a bucket, n documents with one long passage in common cost few, and no link is lost.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlspike.llm.common import delete, flat, lowered, mix64, slices, words, written
@@ -30,6 +32,10 @@ THRESHOLD = 0.8
 #: 32 bands of 6 components: a pair at 0.8 is missed with probability 6e-5.
 BANDS, ROWS = 32, 6
 
+#: Documents of a bucket that its leaders didn't join are compared in pairs in buckets up to this size; in larger ones they must
+#: share an element of their prefixes.
+PAIRS_UP_TO = 64
+
 _TURN = mix64(np.arange(77, 77 + 16, dtype=np.uint64)) | np.uint64(1)
 _STEP, _SIDE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
@@ -120,15 +126,32 @@ def overlap(a: pa.Array, b: pa.Array) -> np.ndarray:
     return np.where(either > 0, both / np.maximum(either, 1), 0.0)
 
 
+def sequence_digests(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Two 64-bit hashes of each row's sequence of words; 128 bits tell sequences apart."""
+    row, _, _, h = words(data, offsets, lowered(data)[0])
+    n = len(offsets) - 1
+    with np.errstate(over="ignore"):
+        place = (np.arange(len(h)) - np.searchsorted(row, row)).astype(np.uint64)
+        out = np.zeros((2, n), np.uint64)
+        begin = np.searchsorted(row, np.arange(n))
+        some = begin < np.append(begin[1:], len(h))
+        for i, code in enumerate((mix64(h + place * _STEP), mix64((h ^ _SIDE) + place * _TURN[7]))):
+            if some.any():
+                out[i, some] = np.add.reduceat(code, begin[some])
+    return out.view(np.int64)
+
+
 def _sign(bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                data, offsets = flat(part.column(1))
+                data, offsets = flat(part.column(2))
                 row, code, n = shingles(data, offsets)
+                digest = sequence_digests(data, offsets)
+                digest[0, n == 0] = part.column(0).to_numpy()[n == 0]  # texts without words are alone
                 codes = band_codes(signatures(row, code, part.num_rows, bands * rows), bands, rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * bands), pa.array(codes.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), lists], ["id", "n_words", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(digest[0]), pa.array(digest[1]), pa.array(n.astype(np.int64)), lists], ["id", "k", "d1", "d2", "n_words", "bands"])
 
     return run
 
@@ -155,6 +178,33 @@ def _links(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return with_both.select("a", "b", "text_a", "text_b").mapInArrow(_check(threshold), "a long, b long, similarity double")
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, element): the shingles as a set, in which the second occurrence of one is an element of its own."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            row, code, _ = shingles(*flat(part.column(1)))
+            order = np.lexsort((code, row))
+            row, code = row[order], code[order]
+            begin = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])])) if len(row) else row
+            turn = np.arange(len(row)) - np.repeat(begin, np.diff(begin, append=len(row)))
+            with np.errstate(over="ignore"):
+                element = mix64(code + turn.astype(np.uint64) * _STEP).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(element)], ["id", "element"])
+
+
+def _prefixes(ids: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """ids with each an element of its prefix that others have too.
+
+    Of n elements two documents at the threshold t share t n; so of the first n - ceil(t n) + 1 of each, in one order of all
+    elements, they share one. The order is by frequency: what thousands share comes last, and brings no pairs."""
+    found = written(texts.join(ids.select("id"), "id", "left_semi").mapInArrow(_elements, "id long, element long"), "near-elements")
+    counts = found.groupBy("element").agg(F.count("*").alias("df"))
+    by_df = Window.partitionBy("id").orderBy("df", "element")  # of one document
+    ranked = found.join(counts, "element").withColumns({"rank": F.row_number().over(by_df), "size": F.count("*").over(Window.partitionBy("id"))})
+    prefix = ranked.where((F.col("rank") <= F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - 1e-9) + 1) & (F.col("df") > 1))
+    return written(prefix.select("id", "element").join(ids, "id"), "near-prefixes")
+
+
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, carry: list[str] = ()) -> DataFrame:
     """One row per row of docs: key, class_id, class_size, kept, and in `row` the columns of `carry`.
 
@@ -163,13 +213,12 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", thresh
     of rows with that key one is kept. Null keys come last. Texts without words, null or empty, are alone in their class.
     Other columns don't matter. docs must read the same rows in the same order each time, as a table of files does."""
     numbered = _numbered(docs, key, text)
-    sequence = F.trim(F.regexp_replace(F.col("text"), r"[\x20\x09-\x0D]+", " "))
-    digest = numbered.select("id", "k", F.when(sequence != "", F.sha2(sequence, 256)).otherwise(F.concat(F.lit("alone"), F.col("id").cast("string"))).alias("digest"))
-    digest = written(digest, "near-digest")
+    kind = docs.schema[key].dataType.simpleString()
+    signed = written(numbered.mapInArrow(_sign(bands, rows), f"id long, k {kind}, d1 long, d2 long, n_words long, bands array<long>"), "near-signed")
+    same = ["d1", "d2", "n_words"]
     # one document stands for all with the same words
-    reps = written(digest.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "near-reps")
-    signed = written(numbered.select("id", "text").mapInArrow(_sign(bands, rows), "id long, n_words long, bands array<long>"), "near-signed")
-    signed_reps = signed.where("n_words > 0").join(reps.select(F.col("rep").alias("id")), "id", "left_semi")
+    reps = written(signed.groupBy(*same).agg(F.min("id").alias("rep")), "near-reps")
+    signed_reps = signed.where("n_words > 0").select("id", "n_words", "bands").join(reps.select(F.col("rep").alias("id")), "id", "left_semi")
     members = written(signed_reps.select("id", "n_words", F.explode("bands").alias("band")), "near-bands")
     # three documents of a bucket lead it: all others are compared with each
     buckets = members.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("l1"), F.min_by("id", F.xxhash64("id")).alias("l2"), F.max_by("id", F.xxhash64("id")).alias("l3"))
@@ -182,14 +231,19 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", thresh
     links = written(_links(stars, texts, threshold), "near-links")
     roots = components(links)
     # what a bucket still holds of different components, beside its leaders
-    placed = in_buckets.where("n > 4 AND NOT array_contains(leads, id)").join(roots, "id", "left").select("band", "id", "n_words", F.coalesce("root", "id").alias("root"))
+    placed = in_buckets.where("n > 4 AND NOT array_contains(leads, id)").join(roots, "id", "left").select("band", "n", "id", "n_words", F.coalesce("root", "id").alias("root"))
     mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
     placed = written(placed.join(mixed, "band", "left_semi"), "near-mixed")
     if not placed.isEmpty():
-        p, q = placed.alias("p"), placed.alias("q")
         near_size = F.least("p.n_words", "q.n_words") >= threshold * F.greatest("p.n_words", "q.n_words") - SHINGLE
-        apart = (F.col("p.band") == F.col("q.band")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.root") != F.col("q.root")) & near_size
-        rest = p.join(q, apart).select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
+        apart = (F.col("p.id") < F.col("q.id")) & (F.col("p.root") != F.col("q.root")) & near_size
+        few = placed.where(F.col("n") <= PAIRS_UP_TO)
+        rest = few.alias("p").join(few.alias("q"), (F.col("p.band") == F.col("q.band")) & apart).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
+        many = written(placed.where(F.col("n") > PAIRS_UP_TO).select("id", "n_words", "root").distinct(), "near-many")
+        if not many.isEmpty():
+            rare = _prefixes(many, texts, threshold)
+            rest = rest.unionByName(rare.alias("p").join(rare.alias("q"), (F.col("p.element") == F.col("q.element")) & apart).select(F.col("p.id").alias("a"), F.col("q.id").alias("b")))
+        rest = rest.distinct()
         later = written(_links(rest, texts, threshold), "near-links")
         if not later.isEmpty():
             # components of components: a link between two documents is one between their roots
@@ -199,8 +253,8 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", thresh
             top = top.select(F.col("id").alias("t"), F.col("root").alias("over"))
             roots = roots.join(top, roots["root"] == top["t"], "left").select("id", F.coalesce("over", "root").alias("root"))
             roots = roots.unionByName(top.select(F.col("t").alias("id"), F.col("over").alias("root"))).distinct()
-    classes = written(reps.select("digest", "rep").join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("root")), "near-classes")
-    tagged = digest.join(classes, "digest").select("id", "k", "root")
+    classes = written(reps.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select(*same, F.coalesce("root", "rep").alias("root")), "near-classes")
+    tagged = signed.select("id", "k", *same).join(classes, same).select("id", "k", "root")
     order = F.struct(F.col("k").isNull().alias("n"), F.col("k").alias("k"), F.col("id").alias("id"))
     heads = tagged.groupBy("root").agg(F.min(order).alias("head"), F.count("*").alias("class_size"))
     out = tagged.join(heads, "root").select("id", "k", F.col("head.k").alias("class_id"), "class_size", (F.col("id") == F.col("head.id")).alias("kept"))

@@ -107,6 +107,22 @@ def test_near_hot_group_in_one_bucket(docs):
     assert {r.class_id for r in near_dedup.near_groups(docs(texts)).collect()} == {0}
 
 
+@pytest.mark.parametrize("pairs", [4, 64])
+def test_near_common_passage(docs, monkeypatch, pairs):
+    """Documents that share most of their text, about the threshold: few in pairs, many by their prefixes."""
+    monkeypatch.setattr(near_dedup, "PAIRS_UP_TO", pairs)
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    passage, base = [word() for _ in range(60)], [word() for _ in range(90)]
+    texts = [" ".join(passage + [word() for _ in range(r.choice([5, 8, 14, 16, 25]))]) for _ in range(40)]
+    for _ in range(40):
+        copy = list(base)
+        for _ in range(r.choice([1, 2, 3])):
+            copy[r.randrange(90)] = word()
+        texts.append(" ".join(copy))
+    assert {x.doc_id: x.class_id for x in near_dedup.near_groups(docs(texts)).collect()} == near_classes(texts)
+
+
 def test_near_odd_rows(docs):
     d = docs([None, None, "a b c d e f", "a b c d e f"], [None, None, None, 5])
     got = near_dedup.near_groups(d).collect()
