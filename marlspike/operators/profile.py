@@ -172,7 +172,7 @@ class Profile:
 def profile(df: DataFrame, format: str = "rows", root: str = "rows") -> Profile:
     """The profile of a DataFrame; what comes to the driver is a row for each path."""
     n = df.count()
-    counts = value_counts(flatten_records(df))
+    counts = value_counts(flatten_records(df)).persist()  # every statistic reads it
     types = type_counts(counts)
     observed = types.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("type", "n"))).alias("observed_types"), F.max_by("type", F.struct(F.col("n"), F.expr("-ascii(type)"), F.length("type"))).alias("dominant_type"))
     tops = top_values(counts).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("text").alias("value"), "n"))).alias("top_values"))
@@ -180,6 +180,8 @@ def profile(df: DataFrame, format: str = "rows", root: str = "rows") -> Profile:
     fields = field_stats(counts, n).join(observed, "path").join(tops, "path", "left").join(samples, "path", "left")
     fields = fields.withColumn("cardinality", F.when(F.col("path").contains("[]") | F.exists("observed_types", lambda x: x["type"] == "list"), "many").otherwise("one"))
     fields = fields.withColumn("enum_values", F.coalesce(F.transform("top_values", lambda x: x["value"]), F.array().cast("array<string>")))
+    fields = df.sparkSession.createDataFrame(fields.collect(), fields.schema)  # a row for each path
+    counts.unpersist()
     return Profile(n, fields, fingerprint(fields), format, root)
 
 
