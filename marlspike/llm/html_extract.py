@@ -3,9 +3,11 @@
 A page's containers (body, div, nav, article ...) are tokens, named by their path of tags and classes. Over the pages of
 one host each token has an occurrence vector: how often it occurs in each page. Tokens with one vector are an equivalence
 class; classes with enough pages and tokens make up the host's template, nested as their paths are. Containers of the
-template are its slots. The slots that hold the main text are those inside article or main elements; where a host has
-none, the slot with most text outside links that varies between pages. What menus, headers, footers, sidebars, notices,
-adverts, forms and comments hold is never in such a slot.
+template are its slots. The slots that hold the main text are of those whose text varies between the host's pages; article,
+main and named elements only pick among them, where they hold enough of that text, and else it is the slot with most text
+outside links. On pages without a template, and pages of which the host's slots hold little, these elements decide alone.
+What menus, headers, footers, sidebars, notices, adverts, forms and comments hold, by tags, roles and names, is never in
+such a slot.
 
 Vectors are never gathered: a token's vector is the exclusive or of one hash for each page and count, which map-side
 aggregation makes whatever the number of a host's pages, and equal vectors have equal values. The template comes back to
@@ -70,7 +72,7 @@ class Page:
 
     def __init__(self, source: str):
         self.blocks: list[tuple[int, bool, int, int, str]] = []
-        self.paths: dict[int, list] = {}  # path: [parent, times, outside, article]
+        self.paths: dict[int, list] = {}  # path: [parent, times, article]
         # (tag, path, outside, article, in header)
         self.stack: list[tuple[str, int, int, int, bool]] = [("", 0, 0, 0, False)]
         self.text: list[str] = []
@@ -113,7 +115,7 @@ class Page:
         if tag in CONTAINERS:
             label = " ".join(sorted(w for w in _SPLIT.split(found.get("class", "").lower()) if w))
             parent, path = path, xxhash.xxh64_intdigest(f"{path}/{tag}.{label}") >> 1
-            seen = self.paths.setdefault(path, [parent, 0, outside > 0, article])
+            seen = self.paths.setdefault(path, [parent, 0, article])
             seen[1] += 1
         self.stack.append((tag, path, outside, article, header))
 
@@ -189,16 +191,18 @@ class Page:
             self._open(tag, m[3])
         self._flush()
 
-    def main_text(self, slots: frozenset[int]) -> str:
-        """The blocks in the surest article; else those in the host's main slots; else, of the containers that are neither menus nor the like, those of the one with most text outside links."""
+    def main_text(self, slots: frozenset[int], fixed: frozenset[int] = frozenset()) -> str:
+        """The blocks in the host's main slots, if they hold enough of the page beside the template's fixed text; else those in the surest article; else, of the containers that are neither menus nor the like, those of the one with most text outside links."""
         kept = [b for b in self.blocks if not b[1]]
         total = sum(len(b[4]) for b in kept)
+        if slots:
+            inside = [b[4] for b in kept if self._in(b[0], slots)]
+            if inside and sum(map(len, inside)) >= SHARE * sum(len(b[4]) for b in kept if b[0] not in fixed):
+                return "\n".join(inside)
         for level in (ARTICLE, MAIN, NAMED):
             inside = [b[4] for b in kept if b[2] >= level]
             if inside and sum(map(len, inside)) >= SHARE * total:
                 return "\n".join(inside)
-        if slots and (inside := [b for b in kept if self._in(b[0], slots)]):
-            return "\n".join(b[4] for b in inside)
         weight: dict[int, int] = {}
         for b in kept:
             weight[b[0]] = weight.get(b[0], 0) + len(b[4]) - 2 * b[3]
@@ -215,13 +219,20 @@ class Page:
         return True
 
     def tokens(self) -> list[tuple]:
-        """(path, parent, times, outside, article, characters outside links, hash of the text) of each container."""
+        """(path, parent, times, article, characters outside links, hash of the text, hash of the text at and below it) of each container, of what isn't outside."""
         chars: dict[int, int] = {}
         texts: dict[int, list[str]] = {}
-        for path, _, _, linked, text in self.blocks:
-            chars[path] = chars.get(path, 0) + len(text) - 2 * linked
-            texts.setdefault(path, []).append(text)
-        return [(p, parent, times, outside, article, chars.get(p, 0), xxhash.xxh64_intdigest("\n".join(texts.get(p, []))) >> 1) for p, (parent, times, outside, article) in self.paths.items()]
+        for path, outside, _, linked, text in self.blocks:
+            if not outside:
+                chars[path] = chars.get(path, 0) + len(text) - 2 * linked
+                texts.setdefault(path, []).append(text)
+        said = {p: xxhash.xxh64_intdigest("\n".join(t)) >> 1 for p, t in texts.items()}
+        below: dict[int, int] = {}
+        for path, code in said.items():
+            while path:
+                below[path] = (below.get(path, 0) + code) & (1 << 63) - 1
+                path = self.paths[path][0]
+        return [(p, parent, times, article, chars.get(p, 0), said.get(p, 0), below.get(p, 0)) for p, (parent, times, article) in self.paths.items()]
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,21 +241,22 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, page, source in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             rows += [(host, page, *t) for t in Page(source).tokens()] if source else []
         columns = list(zip(*rows, strict=True)) or [()] * 9
-        types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["host", "page", "path", "parent", "times", "outside", "article", "chars", "said"])
+        types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["host", "page", "path", "parent", "times", "article", "chars", "said", "below"])
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, slots): of rows (host, page, html) the paths of each host's main slots; hosts without a template have no row."""
-    tokens = pages.mapInArrow(_tokens, "host string, page long, path long, parent long, times long, outside boolean, article int, chars long, said long")
+    """(host, slots, fixed): of rows (host, page, html) the paths of each host's main slots, and of the template's containers
+    whose own text is the same on all pages. Hosts without a template, or without text that varies in it, have no row."""
+    tokens = pages.mapInArrow(_tokens, "host string, page long, path long, parent long, times long, article int, chars long, said long, below long")
     vectors = tokens.groupBy("host", "path").agg(
         F.count("*").alias("pages"),
         F.expr("bit_xor(xxhash64(page, times))").alias("vector"),
         F.first("parent").alias("parent"),
-        F.max("outside").alias("outside"),
         F.max("article").alias("article"),
         F.sum("chars").alias("chars"),
         (F.min("said") < F.max("said")).alias("varies"),
+        (F.min("below") < F.max("below")).alias("changes"),
     )
     # tokens with equal occurrence vectors are a class; a host's tokens are few beside its pages
     by_class = Window.partitionBy("host", "vector", "pages")
@@ -252,17 +264,25 @@ def templates(pages: DataFrame) -> DataFrame:
     # the template nests: a class stands in slots of classes of at least its pages, or at the top
     up = valid.select("host", F.col("path").alias("parent"), F.lit(True).alias("nested"))
     nested = valid.join(up, ["host", "parent"], "left").where("nested OR parent = 0")
-    slots = nested.where("NOT outside AND varies AND chars > 0")
-    slots = slots.groupBy("host").agg(
-        F.collect_list(F.when(F.col("article") >= MAIN, F.col("path"))).alias("articles"),
-        F.max_by("path", F.struct("chars", "path")).alias("largest"),
+    # the surest elements that hold enough of the varying text pick among the slots
+    varying = F.when(F.col("varies") & (F.col("chars") > 0), F.col("chars"))
+    held = [F.coalesce(F.sum(F.when(F.col("article") >= level, varying)), F.lit(0)) for level in (ARTICLE, MAIN, NAMED)]
+    enough = [h >= SHARE * F.sum(varying) for h in held]
+    level = F.when(enough[0], ARTICLE).when(enough[1], MAIN).when(enough[2], NAMED).otherwise(0)
+    hosts = nested.groupBy("host").agg(
+        level.alias("level"),
+        F.collect_list(F.when(F.col("changes"), F.struct("path", "article"))).alias("slots"),
+        F.collect_list(F.when(~F.col("varies"), F.col("path"))).alias("fixed"),
+        F.max_by("path", F.when(varying.isNotNull(), F.struct("chars", "path"))).alias("largest"),
     )
-    return slots.select("host", F.when(F.size("articles") > 0, F.col("articles")).otherwise(F.array("largest")).alias("slots"))
+    picked = F.transform(F.filter("slots", lambda s: s["article"] >= F.col("level")), lambda s: s["path"])
+    return hosts.where("largest IS NOT NULL").select("host", F.when(F.col("level") > 0, picked).otherwise(F.array("largest")).alias("slots"), "fixed")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [Page(source).main_text(frozenset(slots or ())) if source else "" for source, slots in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        columns = (batch.column(i).to_pylist() for i in (2, 3, 4))
+        texts = [Page(source).main_text(frozenset(slots or ()), frozenset(fixed or ())) if source else "" for source, slots, fixed in zip(*columns, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["key", "url", "text"])
 
 
@@ -274,6 +294,6 @@ def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url",
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     read = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), host.alias("host"), F.col(source).alias("html"))
     found = written(templates(read.select("host", F.xxhash64("key", "url").alias("page"), "html")), "html-templates")
-    joined = read.join(found, "host", "left").select("key", "url", "html", "slots")
+    joined = read.join(found, "host", "left").select("key", "url", "html", "slots", "fixed")
     out = joined.mapInArrow(_extract, f"key {pages.schema[key].dataType.simpleString()}, url string, text string")
     return out.select(F.col("key").alias(key), F.col("url").alias(url), "text", F.length("text").cast("long").alias("n_chars"))

@@ -146,3 +146,11 @@ def test_hosts_have_templates(spark):
     df = spark.createDataFrame([("h", i, page(i, 'div class="body"')) for i in range(5)] + [("k", 1, page(1))], "host string, page long, html string")
     found = {r.host: r.slots for r in html_extract.templates(df).collect()}
     assert set(found) == {"h"} and len(found["h"]) == 1
+
+
+def test_template_decides_before_tags(spark):
+    # the article element holds most of each page, but the same on every page of the host: what varies is the text
+    teaser = "<article class=teaser><p>" + "Our best offers of the season. " * 8 + "</p></article>"
+    source = lambda i: f"<html><body>{teaser}<div class=text><p>Page {i} tells its own story {i * 7}</p></div><article class=more><p>Offers</p></article></body></html>"
+    df = spark.createDataFrame([(i, "https://d.example/x", source(i)) for i in range(5)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_extract.extract_main_text(df).collect()} == {i: f"Page {i} tells its own story {i * 7}" for i in range(5)}
