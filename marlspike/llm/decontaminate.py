@@ -1,22 +1,23 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-A benchmark item is cut into overlapping windows. A document is contaminated by a window if some region of it is within
+Each stretch of 80 characters of a benchmark item is a window, at every offset (a shorter item is one window). A document is contaminated by a window if some region of it is within
 the window's edit budget, case, punctuation and white space aside. By the q-gram lemma such a region shares at least
 m - q + 1 - k q of the window's q-grams (m characters, k edits), all on diagonals within k of each other. So
 
 1. each position of the document is looked up in a bit table of the block's q-grams, and only stretches with enough hits
    for any window go on;
-2. their hits are counted by (window, diagonal band); bands are 2k wide and overlap by k, so that one band holds all hits
-   of a match; bands that reach the bound are regions;
+2. their hits are sorted by (item, diagonal band, place in the item); bands are 2k wide and overlap by k, so that one band
+   holds all hits of a match; windows that hold the bound's number of hits in a band are regions;
 3. each region is verified by an alignment within its band.
 
 The benchmark is the query set: it is read in blocks of a bounded number of characters, and each block goes over all
 documents, whole. One character is one byte here: Latin-1 letters are folded to a byte each, others count as their UTF-8
-bytes.
+bytes. Punctuation, spaces and invisible format characters of all of Unicode are set aside like those of ASCII.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,25 +31,46 @@ from marlspike.llm.common import flat, lowered, slices
 
 Q = 8
 WINDOW = 80
-STRIDE = 40
 #: Edits allowed for each hundred characters of a window.
 EDITS_PERCENT = 6
 #: Items with fewer characters name no passage, and match nothing.
 LEAST = 24
 #: Benchmark characters in one block, which is what a task holds besides its documents.
 BLOCK = 4_000_000
+#: Windows aligned at a time.
+LANES = 20_000
 
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = True
 _WORD[97:123] = True
 _WORD[0x80:] = True
+# by code point, beyond ASCII; other planes have no such characters
+_GAP = np.zeros(0x110000, bool)
+_GAP[[c for c in (*range(0x80, 0x20000), *range(0xE0000, 0xE0200)) if unicodedata.category(chr(c))[0] in "PZ" or unicodedata.category(chr(c)) == "Cf"]] = True
+
+
+def _gap_bytes(data: np.ndarray) -> np.ndarray:
+    """Where the bytes of a Unicode gap stand."""
+    out = np.zeros(len(data), bool)
+    lead = np.flatnonzero(data >= 0xC2)
+    if len(lead):
+        b = np.concatenate([data, np.zeros(3, np.uint8)])[lead[:, None] + np.arange(4)].astype(np.int64)
+        more = b[:, 1:] & 0x3F
+        two = (b[:, 0] & 0x1F) << 6 | more[:, 0]
+        three = (b[:, 0] & 0x0F) << 12 | more[:, 0] << 6 | more[:, 1]
+        four = (b[:, 0] & 0x07) << 18 | more[:, 0] << 12 | more[:, 1] << 6 | more[:, 2]
+        size = 2 + (b[:, 0] >= 0xE0) + (b[:, 0] >= 0xF0)
+        found = _GAP[np.where(size == 2, two, np.where(size == 3, three, four))]
+        for i in range(4):
+            out[lead[found & (size > i)] + i] = True
+    return out
 
 
 def normalised(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, offsets, place of each byte in data): lower case, one blank for each run of other than letters and digits, none at a row's ends."""
     low, _ = lowered(data)
     lead = data == 0xC3  # the letter is in the next byte
-    word = _WORD[low] & ~lead
+    word = _WORD[low] & ~lead & ~_gap_bytes(data)
     gap = ~word & ~lead
     first = np.zeros(len(data), bool)
     first[offsets[:-1][offsets[:-1] < len(data)]] = True
@@ -84,17 +106,18 @@ def _slot(gram: np.ndarray, bits: int) -> np.ndarray:
 
 @dataclass
 class Block:
-    """The windows of some items, indexed by q-gram."""
+    """Some items, indexed by q-gram. Every stretch of an item with `size` bytes is a window of it."""
 
-    item: np.ndarray  # by window
-    text: np.ndarray  # bytes of all windows
-    begin: np.ndarray  # of each window in text
-    size: np.ndarray
+    item: np.ndarray  # its id
+    text: np.ndarray  # bytes of all items
+    begin: np.ndarray  # of each item in text
+    length: np.ndarray
+    size: np.ndarray  # of the item's windows
     edits: np.ndarray
     table: np.ndarray  # bits
     gram: np.ndarray  # sorted, one for each posting
-    window: np.ndarray  # of each posting
-    place: np.ndarray  # of each posting in its window
+    owner: np.ndarray  # item of each posting
+    place: np.ndarray  # of each posting in its item
 
     @property
     def bound(self) -> np.ndarray:
@@ -103,31 +126,23 @@ class Block:
     @classmethod
     def of(cls, ids: list, texts: list[str | None]) -> Block:
         data, offsets, _ = normalised(*flat(pa.array(texts, pa.string())))
-        item, begin, size = [], [], []
-        for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
-            n = int(b - a)
-            if n < LEAST:
-                continue
-            m = min(n, WINDOW)
-            for s in sorted({*range(0, n - m + 1, STRIDE), n - m}):
-                item.append(i)
-                begin.append(int(a) + s)
-                size.append(m)
-        begin, size = np.array(begin, np.int64), np.array(size, np.int64)
+        length = np.diff(offsets)
+        kept = np.flatnonzero(length >= LEAST)
+        begin, length = offsets[:-1][kept].astype(np.int64), length[kept].astype(np.int64)
+        size = np.minimum(length, WINDOW)
         edits = size * EDITS_PERCENT // 100
-        each = np.maximum(size - Q + 1, 0)
-        window = np.repeat(np.arange(len(size)), each)
-        place = np.arange(len(window)) - np.repeat(np.cumsum(each) - each, each)
-        all_grams = grams(data)
-        gram = all_grams[begin[window] + place] if len(window) else np.zeros(0, np.uint64)
+        each = length - Q + 1
+        owner = np.repeat(np.arange(len(kept)), each)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each)
+        gram = grams(data)[begin[owner] + place] if len(owner) else np.zeros(0, np.uint64)
         order = np.argsort(gram, kind="stable")
         bits = int(np.clip(np.ceil(np.log2(max(len(gram), 1) * 16 + 1)), 16, 27))
         table = np.zeros(1 << bits, bool)
         table[_slot(gram, bits)] = True
-        return cls(np.array([ids[i] for i in item], object), data, begin, size, edits, table, gram[order], window[order], place[order])
+        return cls(np.array([ids[i] for i in kept], object), data, begin, length, size, edits, table, gram[order], owner[order], place[order])
 
     def matches(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(row, window, first byte, byte after the last, edits) of each region within a window's budget; bytes as in data. One for each row, window and band."""
+        """(row, item, first byte, byte after the last, edits) of each region within the budget of a window of the item; bytes as in data. One for each row, window and band."""
         none = (np.zeros(0, np.int64),) * 5
         if not len(self.size):
             return none
@@ -153,37 +168,49 @@ class Block:
         n = high - low
         posting = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
         at = np.repeat(at, n)
-        window = self.window[posting]
+        item, place = self.owner[posting], self.place[posting]
         row = np.searchsorted(bounds, at, side="right") - 1
         # the diagonal within its row, from 0 on
-        diagonal = at - bounds[row] - self.place[posting] + WINDOW
-        width = np.maximum(self.edits[window], 1)
-        band = diagonal // width
-        key = np.stack([np.tile(row, 2), np.tile(window, 2), np.concatenate([band, band - 1])], 1)
-        # a window's gram counts once in a band, however often the text repeats it
-        once = np.concatenate([key, np.tile(self.place[posting], 2)[:, None]], 1)
+        most = int(self.length.max())
+        diagonal = at - bounds[row] - place + most
+        band = diagonal // np.maximum(self.edits[item], 1)
+        # an item's gram counts once in a band, however often the text repeats it
+        once = np.stack([np.tile(row, 2), np.tile(item, 2), np.concatenate([band, band - 1]), np.tile(place, 2)], 1)
         once = once[np.lexsort(once.T[::-1])]
         once = once[np.concatenate([[True], (once[1:] != once[:-1]).any(1)])] if len(once) else once
         if not len(once):
             return none
-        head = np.flatnonzero(np.concatenate([[True], (once[1:, :3] != once[:-1, :3]).any(1)]))
-        shared = np.diff(head, append=len(once))
-        key = once[head][:, :3]
-        enough = shared >= self.bound[key[:, 1]]
-        row, window, band = key[enough].T
-        first = band * np.maximum(self.edits[window], 1) - WINDOW  # of the band's 2 k diagonals
-        row, window, begin, end, edits = self._align(text, bounds, row, window, first)
+        # from each gram on: where the bound is reached within a window, all windows between hold that many
+        item, place = once[:, 1], once[:, 3]
+        last = np.arange(len(once)) + self.bound[item] - 1
+        short = last < len(once)
+        last = np.minimum(last, len(once) - 1)
+        reach = self.size[item] - Q
+        good = np.flatnonzero(short & (once[last, :3] == once[:, :3]).all(1) & (place[last] - place <= reach))
+        low = np.maximum(place[last] - reach, 0)[good]
+        high = np.minimum(place, self.length[item] - self.size[item])[good]
+        # windows of a stretch overlap from gram to gram; each goes on once
+        same = np.zeros(len(good), bool)
+        same[1:] = (once[good[1:], :3] == once[good[:-1], :3]).all(1)
+        low[1:] = np.where(same[1:], np.maximum(low[1:], high[:-1] + 1), low[1:])
+        n = np.maximum(high - low + 1, 0)
+        begin = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+        row, window, band = once[np.repeat(good, n), :3].T
+        first = band * np.maximum(self.edits[window], 1) - most + begin  # of the band's 2 k diagonals
+        row, window, begin, end, edits = self._align(text, bounds, row, window, begin, first)
         if not len(row):
             return none
         return row, window, where[begin] - offsets[row], where[end - 1] + 1 - offsets[row], edits
 
-    def _align(self, text: np.ndarray, bounds: np.ndarray, row: np.ndarray, window: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+    def _align(self, text: np.ndarray, bounds: np.ndarray, row: np.ndarray, item: np.ndarray, place: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
         """Fewest edits between each window and a piece of text that begins on a diagonal of its band, drifting by k at most; those within budget."""
         found = []
-        for k in np.unique(self.edits[window]):
-            for m in np.unique(self.size[window[self.edits[window] == k]]):
-                pick = np.flatnonzero((self.edits[window] == k) & (self.size[window] == m))
-                r, w, d = row[pick], window[pick], first[pick] - k
+        for m in np.unique(self.size[item]):
+            k = m * EDITS_PERCENT // 100
+            alike = np.flatnonzero(self.size[item] == m)
+            for pick in np.split(alike, range(LANES, len(alike), LANES)):
+                r, w, d = row[pick], item[pick], first[pick] - k
+                source = self.begin[w] + place[pick]
                 width = 2 * max(int(k), 1) + 2 * int(k) + 1
                 lane = np.arange(width)
                 size = bounds[r + 1] - bounds[r]
@@ -196,7 +223,7 @@ class Block:
                     here = start + j  # the text byte that the diagonal step reads
                     legal = (here >= 0) & (here < size[:, None])
                     byte = np.where(legal, text[np.clip(bounds[r][:, None] + here, 0, len(text) - 1)], 0)
-                    step = np.where(legal, cost + (byte != self.text[self.begin[w] + j][:, None]), far)
+                    step = np.where(legal, cost + (byte != self.text[source + j][:, None]), far)
                     # lane l after j+1 window bytes stands at start + l + j + 1: a deleted window byte comes from lane l+1
                     drop = np.concatenate([cost[:, 1:], np.full((len(r), 1), far)], 1) + 1
                     drop_origin = np.concatenate([origin[:, 1:], origin[:, -1:]], 1)

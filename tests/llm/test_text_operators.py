@@ -65,6 +65,15 @@ def test_contamination(spark, docs):
     assert len(list(decontaminate.blocks(items, limit=50))) > 1
 
 
+def test_contamination_at_every_offset(spark, docs):
+    flat = re.sub(r"[^a-z0-9]+", " ", ITEM.lower()).strip()
+    texts = [f"zq {flat[i : i + 80]} vx" for i in range(len(flat) - 79)]
+    items = spark.createDataFrame([(1, ITEM), (2, "They don't know that it's a 'quoted' passage, and that's all we've said about it.")], "item_id long, text string")
+    assert decontaminate.drop_contaminated(docs(texts), items).count() == 0
+    curly = ["They don\u2019t know\u00a0that it\u2019s a \u2018quoted\u2019 passage\u2014and\u3000that\u2019s all we\u2019ve said about it\u2026"]
+    assert [(r.item_id, r.edits) for r in decontaminate.contaminated_spans(docs(curly), items).collect()] == [(2, 0)]
+
+
 def test_pseudonyms(spark):
     texts = ["card 4929963689861572, again 4929 9636 8986 1572", "bad 4929963689861573", "+1 (551) 555-0826 42.160.119.139 300.1.1.1", "Mail lyhe.24@mail4.example.com", "2020-02-29 2021-02-29", 'token = "186661156f3f9905942d70850a01cbf23a203f82"', None, "", "v 2.0 $1 \\1", "4929963689861572", "123-45-6789 000-12-3456"]
     df = spark.createDataFrame([(i, t, "k", "x") for i, t in enumerate(texts)], "doc_id int, text string, found string, new string")
