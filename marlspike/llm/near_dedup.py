@@ -231,7 +231,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", thresh
     links = written(_links(stars, texts, threshold), "near-links")
     roots = components(links)
     # what a bucket still holds of different components, beside its leaders
-    placed = in_buckets.where("n > 4 AND NOT array_contains(leads, id)").join(roots, "id", "left").select("band", "n", "id", "n_words", F.coalesce("root", "id").alias("root"))
+    placed = in_buckets.where("n > size(leads) + 1 AND NOT array_contains(leads, id)").join(roots, "id", "left").select("band", "n", "id", "n_words", F.coalesce("root", "id").alias("root"))
     mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
     placed = written(placed.join(mixed, "band", "left_semi"), "near-mixed")
     if not placed.isEmpty():

@@ -123,6 +123,20 @@ def test_near_common_passage(docs, monkeypatch, pairs):
     assert {x.doc_id: x.class_id for x in near_dedup.near_groups(docs(texts)).collect()} == near_classes(texts)
 
 
+def test_near_pair_beside_two_leaders(spark, tmp_path, monkeypatch):
+    # all in one bucket; the smallest id is also first or last by hash, so there are two leaders, neither like the pair
+    monkeypatch.setattr(near_dedup, "band_codes", lambda signature, bands, rows: np.zeros((len(signature), bands), np.int64))
+    code = {r.id: r.h for r in spark.range(40).selectExpr("id", "xxhash64(id) AS h").collect()}
+    four = next(f for f in ([i, i + 1, i + 2, i + 3] for i in range(37)) if f[0] in (min(f, key=code.get), max(f, key=code.get)))
+    leads = {four[0], min(four, key=code.get), max(four, key=code.get)}
+    pair = [i for i in four if i not in leads]
+    words = lambda i: " ".join(f"w{0 if i in pair else i}x{j}" for j in range(60))
+    rows = [(i, words(i) + (" more" if i == pair[0] else "") if i in four else None) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "four"))
+    got = {r.doc_id: r.class_id for r in near_dedup.near_groups(spark.read.parquet(str(tmp_path / "four"))).collect()}
+    assert len(leads) == 2 and {i: got[i] for i in four} == {i: min(pair) if i in pair else i for i in four}
+
+
 def test_near_odd_rows(docs):
     d = docs([None, None, "a b c d e f", "a b c d e f"], [None, None, None, 5])
     got = near_dedup.near_groups(d).collect()
