@@ -83,13 +83,13 @@ def _date(name: str, pattern: str, shape: str, iso: str, shown: str) -> Kind:
 KINDS = [
     Kind(
         "secret",
-        r"(?i:token|secret|password|passwd|api[_-]?key)[\x22\x27]?\s{0,3}[=:]\s{0,3}[\x22\x27]?[A-Za-z0-9+/_-]{16,128}+",
+        r"(?i:token|secret|password|passwd|api[_-]?key)[\x22\x27]?\s{0,3}[=:]\s{0,3}[\x22\x27]?[A-Za-z0-9+/_-]{16,}+(?:[.][A-Za-z0-9+/_-]++)*+",
         r"^(?i:token|secret|password|passwd|api[_-]?key)[\x22\x27]?\s{0,3}[=:]",
         "true",
         f"CASE WHEN {_HEX} THEN transform(split(v, ''), x -> int(conv(x, 16, 10))) ELSE {_CODES} END",
         f"CASE WHEN {_HEX} THEN array_repeat(16, length(v)) ELSE {_RADICES} END",
         f"CASE WHEN v RLIKE '^[0-9a-f]+$' THEN array_join(transform(c, x -> lower(hex(x))), '') WHEN v RLIKE '^[0-9A-F]+$' THEN array_join(transform(c, x -> hex(x)), '') ELSE {_fill('c')} END",
-        r"regexp_extract(m, r'[=:]\s*[\x22\x27]?([A-Za-z0-9+/_-]+)$', 1)",
+        r"regexp_extract(m, r'[=:]\s*[\x22\x27]?([A-Za-z0-9+/_.-]+)$', 1)",
     ),
     Kind(
         "email",

@@ -93,6 +93,16 @@ def test_pseudonyms(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_whole_secrets(spark):
+    long, jwt = "Ab3" * 1000, "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.c2lnbmF0dXJl-_x"
+    df = spark.createDataFrame([(0, f"token={long}."), (1, f"secret: '{jwt}' end"), (2, "password=0123456789abcdef. Next")], "doc_id int, text string")
+    rows = {r.doc_id: r for r in pseudonyms.pseudonymise(df, "k").collect()}
+    assert [rows[i].n_replaced for i in range(3)] == [1, 1, 1]
+    assert re.fullmatch(r"token=([A-Z][a-z][0-9]){1000}[.]", rows[0].text) and rows[0].text[6 + 128 :] != long[128:] + "."
+    assert all(a != b for a, b in zip(re.fullmatch(r"secret: '(.*)' end", rows[1].text)[1].split("."), jwt.split("."), strict=True))
+    assert re.fullmatch(r"password=[0-9a-f]{16}[.] Next", rows[2].text)
+
+
 def test_pseudonyms_are_permutations(spark):
     days = spark.sql("SELECT explode(sequence(date'1900-01-01', date'2099-12-31')) AS d").select(F.monotonically_increasing_id().alias("doc_id"), F.col("d").cast("string").alias("text"))
     out = pseudonyms.pseudonymise(days, "k")
