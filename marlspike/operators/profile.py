@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,10 +72,14 @@ def flatten_records(df: DataFrame) -> DataFrame:
 
 
 def flatten_variant(df: DataFrame, record: str = "record", rid: str = "rid", depth: int = 8) -> DataFrame:
-    """(rid, path, type, text) of records as VARIANT, down to `depth` levels: a missing key gives no row, a null one does."""
+    """(rid, path, type, text) of records as VARIANT: a missing key gives no row, a null one does.
+
+    `depth` levels are planned unseen; a look at the data for each level from there on tells whether to go deeper."""
     level = df.select(F.col(rid).alias("rid"), F.lit("").alias("path"), F.col(record).alias("v"))
     out = None
-    for d in range(depth):
+    for d in count():
+        if d >= depth and level.where("schema_of_variant(v) LIKE 'OBJECT%' OR schema_of_variant(v) LIKE 'ARRAY%'").isEmpty():
+            return out
         level.createOrReplaceTempView(name := f"_variant_level_{d}_{id(level)}")
         deeper = df.sparkSession.sql(f"SELECT rid, path || CASE WHEN e.key IS NULL THEN '[]' WHEN path = '' THEN e.key ELSE '.' || e.key END AS path, e.value AS v FROM {name}, LATERAL variant_explode(v) AS e")
         shape = F.schema_of_variant("v")
@@ -82,7 +87,6 @@ def flatten_variant(df: DataFrame, record: str = "record", rid: str = "rid", dep
         rows = deeper.withColumn("type", kind).where("type <> 'object'").select("rid", "path", "type", F.coalesce(F.variant_get("v", "$", "string"), F.lit("None")).alias("text"))
         out = rows if out is None else out.unionByName(rows)
         level = deeper
-    return out
 
 
 def value_counts(observations: DataFrame) -> DataFrame:

@@ -77,6 +77,12 @@ def test_samples_and_evidence(spark):
         profile.pack_evidence(p, picks, 10)
 
 
+def test_variant_goes_below_planned_levels(spark):
+    df = spark.sql("""SELECT 1 AS rid, parse_json('{"a":{"b":{"c":{"d":[{"e":5}]}}}}') AS record""")
+    got = sorted((r.path, r.type) for r in profile.flatten_variant(df, depth=2).collect())
+    assert got == [("a.b.c.d", "list"), ("a.b.c.d[].e", "int")]
+
+
 def test_variant_tells_missing_from_null(spark):
     df = spark.createDataFrame([(1, '{"a": null, "b": [1, 2.5]}'), (2, '{"b": []}')], "rid int, t string").select("rid", F.parse_json("t").alias("record"))
     got = sorted((r.rid, r.path, r.type) for r in profile.flatten_variant(df, depth=3).collect())
