@@ -4,8 +4,8 @@ A page's containers (body, div, nav, article ...) are tokens, named by their pat
 one host each token has an occurrence vector: how often it occurs in each page. Tokens with one vector are an equivalence
 class; classes with enough pages and tokens make up the host's template, nested as their paths are. Containers of the
 template are its slots. The slots that hold the main text are of those whose text varies between the host's pages; article,
-main and named elements only pick among them, where they hold enough of that text, and else it is the slot with most text
-outside links. On pages without a template, and pages of which the host's slots hold little, these elements decide alone.
+main and named elements only pick among them, where they hold enough of that text, and else it is all of them but those
+mostly of links, with the page's own containers. On pages without a template, and pages of which the host's slots hold little, these elements decide alone.
 What menus, headers, footers, sidebars, notices, adverts, forms and comments hold, by tags, roles and names, is never in
 such a slot.
 
@@ -191,24 +191,24 @@ class Page:
             self._open(tag, m[3])
         self._flush()
 
-    def main_text(self, slots: frozenset[int], fixed: frozenset[int] = frozenset()) -> str:
-        """The blocks in the host's main slots, if they hold enough of the page beside the template's fixed text; else those in the surest article; else, of the containers that are neither menus nor the like, those of the one with most text outside links."""
+    def main_text(self, slots: frozenset[int], fixed: frozenset[int] = frozenset(), wide: bool = False) -> str:
+        """The blocks in the host's main slots, if they hold enough of the page beside the template's fixed text; else those in the surest article; else, the containers that are neither menus nor the like nor mostly of links. wide: the slots are not picked by elements, and containers of the page alone count with them."""
         kept = [b for b in self.blocks if not b[1]]
         total = sum(len(b[4]) for b in kept)
+        weight: dict[int, int] = {}
+        for b in kept:
+            weight[b[0]] = weight.get(b[0], 0) + len(b[4]) - 2 * b[3]
         if slots:
-            inside = [b[4] for b in kept if self._in(b[0], slots)]
+            inside = [b[4] for b in kept if self._in(b[0], slots) or (wide and b[0] not in fixed and weight[b[0]] > 0)]
             if inside and sum(map(len, inside)) >= SHARE * sum(len(b[4]) for b in kept if b[0] not in fixed):
                 return "\n".join(inside)
         for level in (ARTICLE, MAIN, NAMED):
             inside = [b[4] for b in kept if b[2] >= level]
             if inside and sum(map(len, inside)) >= SHARE * total:
                 return "\n".join(inside)
-        weight: dict[int, int] = {}
-        for b in kept:
-            weight[b[0]] = weight.get(b[0], 0) + len(b[4]) - 2 * b[3]
         if not weight:
             return ""
-        best = frozenset([max(weight, key=weight.__getitem__)])
+        best = frozenset(p for p, w in weight.items() if w > 0) or frozenset([max(weight, key=weight.__getitem__)])
         return "\n".join(b[4] for b in kept if self._in(b[0], best))
 
     def _in(self, path: int, slots: frozenset[int]) -> bool:
@@ -246,8 +246,8 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, slots, fixed): of rows (host, page, html) the paths of each host's main slots, and of the template's containers
-    whose own text is the same on all pages. Hosts without a template, or without text that varies in it, have no row."""
+    """(host, slots, fixed, wide): of rows (host, page, html) the paths of each host's main slots, and of the template's containers
+    whose own text is the same on all pages; wide where no element picks among the slots. Hosts without a template, or without text that varies in it, have no row."""
     tokens = pages.mapInArrow(_tokens, "host string, page long, path long, parent long, times long, article int, chars long, said long, below long")
     vectors = tokens.groupBy("host", "path").agg(
         F.count("*").alias("pages"),
@@ -273,16 +273,16 @@ def templates(pages: DataFrame) -> DataFrame:
         level.alias("level"),
         F.collect_list(F.when(F.col("changes"), F.struct("path", "article"))).alias("slots"),
         F.collect_list(F.when(~F.col("varies"), F.col("path"))).alias("fixed"),
-        F.max_by("path", F.when(varying.isNotNull(), F.struct("chars", "path"))).alias("largest"),
+        F.collect_list(F.when(varying.isNotNull(), F.col("path"))).alias("heavy"),
     )
     picked = F.transform(F.filter("slots", lambda s: s["article"] >= F.col("level")), lambda s: s["path"])
-    return hosts.where("largest IS NOT NULL").select("host", F.when(F.col("level") > 0, picked).otherwise(F.array("largest")).alias("slots"), "fixed")
+    return hosts.where("size(heavy) > 0").select("host", F.when(F.col("level") > 0, picked).otherwise(F.col("heavy")).alias("slots"), "fixed", (F.col("level") == 0).alias("wide"))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        columns = (batch.column(i).to_pylist() for i in (2, 3, 4))
-        texts = [Page(source).main_text(frozenset(slots or ()), frozenset(fixed or ())) if source else "" for source, slots, fixed in zip(*columns, strict=True)]
+        columns = (batch.column(i).to_pylist() for i in (2, 3, 4, 5))
+        texts = [Page(source).main_text(frozenset(slots or ()), frozenset(fixed or ()), bool(wide)) if source else "" for source, slots, fixed, wide in zip(*columns, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["key", "url", "text"])
 
 
@@ -294,6 +294,6 @@ def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url",
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     read = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), host.alias("host"), F.col(source).alias("html"))
     found = written(templates(read.select("host", F.xxhash64("key", "url").alias("page"), "html")), "html-templates")
-    joined = read.join(found, "host", "left").select("key", "url", "html", "slots", "fixed")
+    joined = read.join(found, "host", "left").select("key", "url", "html", "slots", "fixed", "wide")
     out = joined.mapInArrow(_extract, f"key {pages.schema[key].dataType.simpleString()}, url string, text string")
     return out.select(F.col("key").alias(key), F.col("url").alias(url), "text", F.length("text").cast("long").alias("n_chars"))

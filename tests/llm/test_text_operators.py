@@ -173,3 +173,11 @@ def test_template_decides_before_tags(spark):
     source = lambda i: f"<html><body>{teaser}<div class=text><p>Page {i} tells its own story {i * 7}</p></div><article class=more><p>Offers</p></article></body></html>"
     df = spark.createDataFrame([(i, "https://d.example/x", source(i)) for i in range(5)], "page_id long, url string, html string")
     assert {r.page_id: r.text for r in html_extract.extract_main_text(df).collect()} == {i: f"Page {i} tells its own story {i * 7}" for i in range(5)}
+
+
+def test_article_spread_over_containers(spark):
+    source = lambda i: f"<html><body><section class=intro><p>Intro of page {i}</p></section><section class=body><p>The body of page {i} is longer, {i * 7}</p></section>" + (f"<section class=extra><p>Only {i}</p></section>" if i == 1 else "") + f"<ul><li><a href=/{i}>Link {i}</a></ul><div class=legal><p>All rights</p></div></body></html>"
+    text = lambda i: f"Intro of page {i}\nThe body of page {i} is longer, {i * 7}" + ("\nOnly 1" if i == 1 else "")
+    df = spark.createDataFrame([(i, "https://e.example/x", source(i)) for i in range(5)] + [(9, "https://f.example/x", source(9))], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract_main_text(df).collect()}
+    assert got == {**{i: text(i) for i in range(5)}, 9: text(9) + "\nAll rights"}
