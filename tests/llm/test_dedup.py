@@ -124,8 +124,8 @@ def test_near_common_passage(docs, monkeypatch, pairs):
 
 
 def test_near_pair_beside_two_leaders(spark, tmp_path, monkeypatch):
-    # all in one bucket; the smallest id is also first or last by hash, so there are two leaders, neither like the pair
-    monkeypatch.setattr(near_dedup, "band_codes", lambda signature, bands, rows: np.zeros((len(signature), bands), np.int64))
+    # all in one bucket of each band; the smallest id is also first or last by hash, so there are two leaders, neither like the pair
+    monkeypatch.setattr(near_dedup, "band_codes", lambda signature, bands, rows: np.tile(np.arange(bands, dtype=np.int64), (len(signature), 1)))
     code = {r.id: r.h for r in spark.range(40).selectExpr("id", "xxhash64(id) AS h").collect()}
     four = next(f for f in ([i, i + 1, i + 2, i + 3] for i in range(37)) if f[0] in (min(f, key=code.get), max(f, key=code.get)))
     leads = {four[0], min(four, key=code.get), max(four, key=code.get)}
