@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +18,11 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one of our own in local mode (tests); on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="marlspike-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -29,27 +32,50 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/marlspike/{label}-{uuid.uuid4().hex}"
 
 
+#: Spark's own setting: the shuffle files of a query go when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_released(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """df, written once to the shared folder as Parquet and read again: lineage ends here and a lost executor costs no recomputation."""
+    """df, written once to the shared folder as Parquet and read again: lineage ends here, a lost executor costs no recomputation,
+    and the shuffles behind it are deleted at once."""
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with _shuffles_released(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path
     return out
 
 
-def delete(df: DataFrame) -> None:
-    """Remove a table that written() made and that no plan reads any more."""
-    if path := getattr(df, "_written_path", None):
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
+def delete(*tables: DataFrame) -> None:
+    """Remove tables that written() made and that no plan reads any more."""
+    for df in tables:
+        if path := getattr(df, "_written_path", None):
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
+_ROW_LOCAL = re.compile(r"(Project|Filter|FileScan|Scan parquet|ColumnarToRow|Union)\b")
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files that no plan uses any more; it does so when the driver collects its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+def settled(docs: DataFrame, label: str) -> DataFrame:
+    """docs such that each plan over it reads the same rows in the same order: docs itself where it is files, projected or filtered,
+    and else a written copy. Row numbers made in several plans agree then."""
+    plan = docs._jdf.queryExecution().sparkPlan().toString()
+    nodes = [re.sub(r"^[\s:+|*-]*(\(\d+\) )?", "", line) for line in plan.splitlines() if line.strip()]
+    deterministic = not re.search(r"\b(rand|randn|uuid|shuffle|random)\(", plan)
+    return docs if deterministic and all(_ROW_LOCAL.match(n) for n in nodes) else written(docs, label)
 
 
 def held_out(doc_id: Column) -> Column:
