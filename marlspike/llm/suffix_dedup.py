@@ -26,17 +26,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlspike.llm.common import delete, flat, mix64, release, slices, written
+from marlspike.llm.common import delete, flat, mix64, settled, slices, written
 
 LENGTH = 100
 GRAM = 32  # a multiple of 8; short strings repeat by chance and would bring most anchors to the sort
 #: Bytes of keys that a task sorts at once, and that a range should hold.
 RUN_BYTES = 12 << 20
 RANGE_BYTES = 6 << 20
-MOST_RANGES = 5000
+#: Sampled keys a range from which splitters are chosen; the driver holds them, some 3 KB a range.
+KEYS_A_RANGE = 20
 #: Keys with one gram that are compared in pairs.
 PAIRS_UP_TO = 16
 #: Longer texts are searched in pieces that overlap by LENGTH - 1 bytes.
@@ -110,17 +112,20 @@ class Run:
         self.keys, self.lcp, self.places = keys, lcp, places
 
     def encoded(self) -> bytes:
+        """Front-coded keys, then the numbers of their places, column by column; compressed."""
         lcp = np.array([0, *self.lcp[1:]], "<u2")
         rest = [k[h:] for k, h in zip(self.keys, lcp.tolist(), strict=True)]
         size = np.array([len(r) for r in rest], "<u2")
-        return b"".join([np.int64(len(rest)).tobytes(), lcp.tobytes(), size.tobytes(), np.array(self.places, "<i8").tobytes(), *rest])
+        places = np.ascontiguousarray(np.array(self.places, "<i8").reshape(-1, PLACE).T)
+        return zstandard.compress(b"".join([np.int64(len(rest)).tobytes(), lcp.tobytes(), size.tobytes(), places.tobytes(), *rest]), 1)
 
     @classmethod
     def decoded(cls, block: bytes) -> Run:
+        block = zstandard.decompress(block)
         n = int(np.frombuffer(block, "<i8", 1)[0])
         lcp = np.frombuffer(block, "<u2", n, 8).tolist()
         size = np.frombuffer(block, "<u2", n, 8 + 2 * n).tolist()
-        places = list(map(tuple, np.frombuffer(block, "<i8", n * PLACE, 8 + 4 * n).reshape(n, PLACE).tolist()))
+        places = list(map(tuple, np.frombuffer(block, "<i8", n * PLACE, 8 + 4 * n).reshape(PLACE, n).T.tolist()))
         keys, at, last = [], 8 + 4 * n + 8 * PLACE * n, b""
         for h, s in zip(lcp, size, strict=True):
             last = last[:h] + block[at : at + s]
@@ -366,18 +371,23 @@ def _local_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sort(rows: DataFrame, entries_of, n_keys: int, n_bytes: int, length: int, gram: int | None) -> tuple[DataFrame, DataFrame]:
-    """(merged rows, spans found within runs) of a distributed sort of rows' entries."""
-    ranges = int(min(MOST_RANGES, max(1, n_bytes // RANGE_BYTES)))
+    """(spans, windows) of a distributed sort of rows' entries: (id, start, stop) of repeats, and what _merge() leaves to be sorted by windows."""
+    ranges = int(max(1, n_bytes // RANGE_BYTES))
     splitters: list[bytes] = []
     if ranges > 1:
-        # some 50 keys a range come to the driver, every eighth of a sample of rows
-        one_in = max(1, n_keys // (400 * ranges))
+        # every eighth entry of a sample of rows comes to the driver
+        one_in = max(1, n_keys // (8 * KEYS_A_RANGE * ranges))
         some = rows.where(F.pmod(F.xxhash64("id"), F.lit(one_in)) == 0)
-        sample = sorted(set(some.mapInArrow(_keys_sample(entries_of, 8), "key binary").limit(200 * ranges).toArrow().column(0).to_pylist()))
+        sample = sorted(set(some.mapInArrow(_keys_sample(entries_of, 8), "key binary").limit(4 * KEYS_A_RANGE * ranges).toArrow().column(0).to_pylist()))
         splitters = sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
     runs = written(rows.mapInArrow(_runs(entries_of, splitters), "part int, block binary"), "suffix-runs")
-    out = written(runs.where("part >= 0").groupBy("part").applyInArrow(_merge(length, gram), _MERGED), "suffix-merged")
-    return out, runs.where("part < 0").select("block").mapInArrow(_local_spans, "id long, start long, stop long")
+    merged_rows = written(runs.where("part >= 0").groupBy("part").applyInArrow(_merge(length, gram), _MERGED), "suffix-merged")
+    local = runs.where("part < 0").select("block").mapInArrow(_local_spans, "id long, start long, stop long")
+    spans = written(local.unionByName(merged_rows.where("kind = 0").select("id", "start", "stop")), "suffix-spans")
+    delete(runs)
+    windows = merged_rows.where("kind = 1").select("ord", "id", F.col("start").alias("at"), "before", F.col("stop").alias("after"), "text")
+    windows._written_path = merged_rows._written_path
+    return spans, windows
 
 
 def _cut(length_of: int):
@@ -431,19 +441,17 @@ def repeated_spans(numbered: DataFrame, length: int = LENGTH, gram: int = GRAM)
     found = written(numbered.select("id", "text").mapInArrow(_anchor_rows(length, gram), "gram long, id long, at int, before short, after short"), "suffix-anchors")
     lists = _repeated_anchors(found)
     delete(found)
-    del found
-    release(numbered.sparkSession)  # the anchors' shuffles, before the texts are shuffled
     docs = written(numbered.join(lists, "id").select("ord", "id", "text", "found"), "suffix-docs")
     delete(lists)
     size = F.expr("aggregate(found, 0L, (s, f) -> s + f.before + f.after)")
     n_keys, n_bytes = docs.agg(F.sum(F.size("found")), F.sum(size)).first()
-    out, spans = _sort(docs, _entries_of_docs, n_keys or 0, n_bytes or 0, length, gram)
-    spans = spans.unionByName(out.where("kind = 0").select("id", "start", "stop"))
-    windows = out.where("kind = 1").select("ord", "id", F.col("start").alias("at"), "before", F.col("stop").alias("after"), "text")
+    spans, windows = _sort(docs, _entries_of_docs, n_keys or 0, n_bytes or 0, length, gram)
     n_windows = windows.agg(F.sum(F.col("before") + F.col("after") - length + 1)).first()[0]
     if n_windows:
-        more, local = _sort(windows, lambda part: _entries_of_windows(part, length), n_windows, n_windows * length, length, None)
-        spans = spans.unionByName(local).unionByName(more.where("kind = 0").select("id", "start", "stop"))
+        more, none = _sort(windows, lambda part: _entries_of_windows(part, length), n_windows, n_windows * length, length, None)
+        spans = spans.unionByName(more)
+        delete(none)
+    delete(windows)
     return spans, docs.select("id", "text")
 
 
@@ -456,8 +464,10 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     """One row per row of docs: key, n_bytes, n_removed, n_spans, kept_sha256; with keep_text also kept, the bytes that stay.
 
     Texts are their UTF-8 bytes; null and empty ones have none, and nothing to remove. The key is an integer; null keys come
-    last. Rows with one key are documents of their own, in the table's order. Texts shorter than `length` bytes stay whole.
-    docs must read the same rows in the same order each time, as a table of files does."""
+    last. Rows with one key, repeated rows too, are documents of their own, in the table's order. Texts shorter than `length`
+    bytes stay whole; long ones are searched whole. Other columns don't matter and may have any names. An empty table gives no
+    rows."""
+    docs = settled(docs, "suffix-input")
     numbered = _numbered(docs, key, text)
     spans, texts = repeated_spans(numbered, length)
     lists = spans.groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("found"))  # bounded by the document's length
