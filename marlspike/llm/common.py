@@ -32,25 +32,29 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/marlspike/{label}-{uuid.uuid4().hex}"
 
 
-#: Spark's own setting: the shuffle files of a query go when it ends.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's own settings while a table is written: the shuffle files behind it go when it is, and no more than so many texts, a few MB,
+#: are in one Arrow batch, which is outside of an executor's heap.
+_CLEANUP, _BATCH, _BATCH_ROWS = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 @contextmanager
-def _shuffles_released(spark: SparkSession) -> Iterator[None]:
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def _sparing(spark: SparkSession) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in (_CLEANUP, _BATCH)}
+    rows = int(before[_BATCH] or 0)
     try:
+        spark.conf.set(_CLEANUP, "true")
+        spark.conf.set(_BATCH, str(min(rows, _BATCH_ROWS) if rows > 0 else _BATCH_ROWS))
         yield
     finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """df, written once to the shared folder as Parquet and read again: lineage ends here, a lost executor costs no recomputation,
     and the shuffles behind it are deleted at once."""
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
-    with _shuffles_released(spark):
+    with _sparing(spark):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path

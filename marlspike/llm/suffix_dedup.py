@@ -435,7 +435,7 @@ def _repeated_anchors(found: DataFrame) -> DataFrame:
 
 
 def repeated_spans(numbered: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """(spans, texts): of rows (id, ord, text as bytes) the spans (id, start, stop) to remove, and the texts (id, text) in which they lie.
+    """(spans, texts): of rows (id, ord, text as bytes) the spans (id, start, stop) to remove, and the written rows (id, text ...) in which they lie.
 
     Spans overlap; their union is what `length`-byte strings cover that also start earlier, by (ord, id, place)."""
     found = written(numbered.select("id", "text").mapInArrow(_anchor_rows(length, gram), "gram long, id long, at int, before short, after short"), "suffix-anchors")
@@ -449,10 +449,11 @@ def repeated_spans(numbered: DataFrame, length: int = LENGTH, gram: int = GRAM)
     n_windows = windows.agg(F.sum(F.col("before") + F.col("after") - length + 1)).first()[0]
     if n_windows:
         more, none = _sort(windows, lambda part: _entries_of_windows(part, length), n_windows, n_windows * length, length, None)
-        spans = spans.unionByName(more)
-        delete(none)
+        both = written(spans.unionByName(more), "suffix-spans")
+        delete(spans, more, none)
+        spans = both
     delete(windows)
-    return spans, docs.select("id", "text")
+    return spans, docs
 
 
 def _numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -472,7 +473,9 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     spans, texts = repeated_spans(numbered, length)
     lists = spans.groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("found"))  # bounded by the document's length
     mode = 0 if keep_text else -1
-    cut = texts.join(lists, "id").select("id", "text", "found").mapInArrow(_cut(mode), f"id long, n_removed long, n_spans long, kept {'binary' if keep_text else 'string'}")
+    cut = texts.select("id", "text").join(lists, "id").select("id", "text", "found").mapInArrow(_cut(mode), f"id long, n_removed long, n_spans long, kept {'binary' if keep_text else 'string'}")
+    cut = written(cut, "suffix-cut")
+    delete(texts, spans)
     whole = docs.select(F.monotonically_increasing_id().alias("id"), F.col(key).alias("k"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("text"))
     whole = whole.select("id", "k", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"), *["text"] * keep_text)
     joined = whole.join(cut, "id", "left")
