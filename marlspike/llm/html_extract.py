@@ -9,8 +9,8 @@ mostly of links, with the page's own containers. On pages without a template, an
 What menus, headers, footers, sidebars, notices, adverts, forms and comments hold, by tags, roles and names, is never in
 such a slot.
 
-Vectors are never gathered: a token's vector is the exclusive or of one hash for each page and count, which map-side
-aggregation makes whatever the number of a host's pages, and equal vectors have equal values. The template comes back to
+Vectors are never gathered: a token's vector is the sum of one hash for each page and count, which map-side aggregation
+makes whatever the number of a host's pages, and equal vectors have equal values; repeated rows don't cancel. The template comes back to
 the pages by a join on the host.
 """
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 import xxhash
@@ -61,6 +62,15 @@ _SPLIT = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
+#: Names end with them, so that head isn't header; other letters than A to Z have no second case here.
+_BODY = re.compile(r"<body(?=[\s/>])", re.I | re.A)
+
+
+@cache
+def _end_of(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I | re.A)
+
+
 def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(text)} if text else {}
 
@@ -136,7 +146,7 @@ class Page:
                 return
 
     def _read(self, source: str) -> None:
-        at, n, low = 0, len(source), None
+        at, n = 0, len(source)
         while at < n:
             begin = source.find("<", at)
             if begin < 0:
@@ -167,15 +177,13 @@ class Page:
                 self._close(tag)
                 continue
             if tag in RAW and not m[0].endswith("/>"):
-                if low is None:
-                    low = source.lower()
-                end = low.find(f"</{tag}", at)
-                if end < 0:
+                end = _end_of(tag).search(source, at)
+                if end is None:
                     # without an end, a script holds the rest of the page, a head what comes before the body, and others nothing
-                    end = low.find("<body", at) if tag == "head" else -1
-                    at = end if end >= 0 else n if tag in RAW_TO_END else at
+                    body = _BODY.search(source, at) if tag == "head" else None
+                    at = body.start() if body else n if tag in RAW_TO_END else at
                 else:
-                    at = low.find(">", end) + 1 or n
+                    at = source.find(">", end.end()) + 1 or n
                 continue
             if tag in BLOCKS:
                 self._flush()
@@ -251,13 +259,14 @@ def templates(pages: DataFrame) -> DataFrame:
     tokens = pages.mapInArrow(_tokens, "host string, page long, path long, parent long, times long, article int, chars long, said long, below long")
     vectors = tokens.groupBy("host", "path").agg(
         F.count("*").alias("pages"),
-        F.expr("bit_xor(xxhash64(page, times))").alias("vector"),
+        F.sum(F.xxhash64("page", "times").cast("decimal(20,0)")).alias("vector"),
         F.first("parent").alias("parent"),
         F.max("article").alias("article"),
         F.sum("chars").alias("chars"),
         (F.min("said") < F.max("said")).alias("varies"),
         (F.min("below") < F.max("below")).alias("changes"),
     )
+    vectors = written(vectors, "html-vectors")  # a row for each token of a host; the pages are parsed once for it
     # tokens with equal occurrence vectors are a class; a host's tokens are few beside its pages
     by_class = Window.partitionBy("host", "vector", "pages")
     valid = vectors.withColumn("tokens", F.count("*").over(by_class)).where(f"pages >= {LEAST_PAGES} AND tokens >= {LEAST_TOKENS}")
@@ -290,7 +299,9 @@ def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url",
     """One row per row of pages: key, url, text, n_chars.
 
     Null and empty pages, and pages without main text, have the empty text. Pages with a null url, or one without a host,
-    count as one host's. A page is whole in memory while it is read; others don't matter to it but by its host's template."""
+    count as one host's. Repeated rows each have their own result, and count as pages of the host. A page of any length is
+    whole in memory while it is read; others don't matter to it but by its host's template. Other columns don't matter and may
+    have any names. An empty table gives no rows."""
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     read = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), host.alias("host"), F.col(source).alias("html"))
     found = written(templates(read.select("host", F.xxhash64("key", "url").alias("page"), "html")), "html-templates")

@@ -161,6 +161,47 @@ def test_main_text(spark):
     assert html_extract.extract_main_text(df.where("false")).count() == 0
 
 
+def test_markup_is_found_in_the_page_itself(spark):
+    dotted = "\u0130" * 30  # has two characters in lower case
+    pages = [
+        f"<html><body><article><p>{dotted}</p><script>var a = 1;</SCRIPT ><p>After the script</p></article></body></html>",
+        "<html><head><title>T</title><body><article><p>Whole text</p><script>x = '</scripts>'</script><p>More</p></article><header>H</header></body></html>",
+        "<html><head><title>T</title></head><body><article><p>" + "Long word " * 200_000 + "</p></article></body></html>",
+    ]
+    df = spark.createDataFrame([(i, f"https://{i}.example/x", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract_main_text(df).collect()}
+    assert got == {0: dotted + "\nAfter the script", 1: "Whole text\nMore", 2: ("Long word " * 200_000).strip()}
+
+
+def classes(pages):
+    """Brute force: the tokens of each equivalence class, by whole occurrence vectors."""
+    counts = [{t[0]: t[2] for t in html_extract.Page(p).tokens()} for p in pages]
+    found = {}
+    for path in {p for c in counts for p in c}:
+        found.setdefault(tuple(c.get(path, 0) for c in counts), set()).add(path)
+    return {v: t for v, t in found.items() if sum(x > 0 for x in v) >= html_extract.LEAST_PAGES and len(t) >= html_extract.LEAST_TOKENS}
+
+
+@pytest.mark.parametrize("times", [1, 2])
+def test_templates_match_brute_force(spark, times):
+    source = lambda i: f"<html><body><div class=top><p>Same</p></div><div class=body><p>Text {i}</p>" + "<section class=part><p>Odd %d</p></section>" % i * (i % 2) + f"</div><table class=rare{i}><tr><td>x</td></tr></table></body></html>"
+    pages = [source(i) for i in range(9)]
+    df = spark.createDataFrame([("h", i, p) for i, p in enumerate(pages)] * times, "host string, page long, html string")
+    (row,) = html_extract.templates(df).collect()
+    said = {}
+    for p in pages:
+        for t in html_extract.Page(p).tokens():
+            said.setdefault(t[0], set()).add(t[5])
+    valid = set().union(*classes(pages).values())
+    assert set(row.slots) == {t for t in valid if len(said[t]) > 1} and set(row.fixed) == {t for t in valid if len(said[t]) == 1}
+
+
+def test_repeated_pages(spark):
+    df = spark.createDataFrame([(i, "https://a.example/x", page(i, 'div class="body"')) for i in range(4)] * 2, "page_id long, url string, html string")
+    got = [(r.page_id, r.text) for r in html_extract.extract_main_text(df).collect()]
+    assert sorted(got) == sorted((i, f"Head {i} & more\nFirst {i} line <b>\nSecond {i} x") for i in range(4) for _ in range(2))
+
+
 def test_hosts_have_templates(spark):
     df = spark.createDataFrame([("h", i, page(i, 'div class="body"')) for i in range(5)] + [("k", 1, page(1))], "host string, page long, html string")
     found = {r.host: r.slots for r in html_extract.templates(df).collect()}
