@@ -5,7 +5,7 @@ tokens up to and with it, divided by the source's target. Documents of all sourc
 to reach its target, are sorted by finish time over the whole cluster, and the queue is cut where it reaches the budget.
 
 Running sums never gather a source in one task. Within a source, the shuffled order is cut into bins of about ROWS_A_BIN
-rows by the digest's leading bits; bins are summed first, then documents within a bin. The queue is range-partitioned; only
+rows by the digest's leading bits; bins are summed first, by shelves of bins, then documents within a bin. The queue is range-partitioned; only
 the partition in which the budget ends is summed row by row.
 """
 
@@ -19,6 +19,7 @@ from marlspike.llm.common import SPACE, written
 #: A source's target is at most so many times its size, and a document is repeated at most so often.
 MAX_REPEATS = 3
 ROWS_A_BIN = 1_000
+BINS_A_SHELF = 1_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -64,9 +65,14 @@ def mix_queue(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
     sized = base.withColumn("bin", F.floor(F.col("h") / F.lit(2.0**56 / bins)).cast("int"))
     known = targets.select(F.col("source").alias("s"), "source_size", "rank", "target")
     sized = sized.join(known, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    before = Window.partitionBy("rank").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sized.groupBy("rank", "bin").agg(F.sum("size").alias("bin_size"))
-    offsets = offsets.select("rank", "bin", F.coalesce(F.sum("bin_size").over(before), F.lit(0)).alias("offset"))
+    # running sums of bins within a shelf of BINS_A_SHELF, and of shelves within a source
+    offsets = sized.groupBy("rank", "bin").agg(F.sum("size").alias("bin_size")).withColumn("shelf", F.floor(F.col("bin") / BINS_A_SHELF))
+    before = Window.partitionBy("rank").orderBy("shelf").rowsBetween(Window.unboundedPreceding, -1)
+    shelves = offsets.groupBy("rank", "shelf").agg(F.sum("bin_size").alias("shelf_size"))
+    shelves = shelves.select("rank", "shelf", F.coalesce(F.sum("shelf_size").over(before), F.lit(0)).alias("below"))
+    before = Window.partitionBy("rank", "shelf").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = offsets.withColumn("offset", F.coalesce(F.sum("bin_size").over(before), F.lit(0))).join(shelves, ["rank", "shelf"])
+    offsets = offsets.select("rank", "bin", (F.col("offset") + F.col("below")).alias("offset"))
     inside = Window.partitionBy("rank", "bin").orderBy("h", "k", "size", "r").rowsBetween(Window.unboundedPreceding, 0)
     queue = sized.withColumn("within", F.sum("size").over(inside)).join(offsets, ["rank", "bin"])
     passes = F.ceil(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)))
@@ -92,6 +98,7 @@ def mix_queue(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """One row per row of docs: key, size, source, source_size, target, taken (tokens that the mix takes, repeats counted).
+    Texts of any length are counted whole; other columns don't matter and may have any names.
 
     See mix_queue(), whose options are options here too."""
     queue = mix_queue(docs, key, text, source, **options)

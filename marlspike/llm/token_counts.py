@@ -99,19 +99,25 @@ def scan_token_files(files: DataFrame, separator: int = SEPARATOR, width: int =
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     blocks = files.select("file").where("file IS NOT NULL").distinct().mapInArrow(cut, "file string, begin long, n long").repartition(tasks, "file", "begin")
     blocks = blocks.mapInArrow(scan, "file string, begin long, n long, first long, last long, inner array<long>, ends long")
+    blocks = written(blocks, "token-blocks")
+    # the scan over a file's blocks moves a few numbers of each, and not their counts
     before = Window.partitionBy("file").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("file")
-    stitched = blocks.withColumns({"base": F.coalesce(F.sum("ends").over(before), F.lit(0)), "previous": F.coalesce(F.max("last").over(before), F.lit(-1)), "end": F.max(F.col("begin") + F.col("n")).over(upto), "final": F.max("last").over(upto), "all": F.sum("ends").over(upto)})
+    slim = blocks.select("file", "begin", "n", "last", "ends")
+    slim = slim.withColumns({"base": F.coalesce(F.sum("ends").over(before), F.lit(0)), "previous": F.coalesce(F.max("last").over(before), F.lit(-1)), "end": F.max(F.col("begin") + F.col("n")).over(upto), "final": F.max("last").over(upto), "all": F.sum("ends").over(upto)})
+    slim = written(slim.drop("n", "last", "ends"), "token-stitches")
+    stitched = slim.join(blocks, ["file", "begin"])
     counts = F.concat(F.array(F.col("first") - F.col("previous") - 1), "inner")
     ended = stitched.where("ends > 0").select("file", "base", F.posexplode(counts).alias("i", "n_tokens"))
     ended = ended.select("file", (F.col("base") + F.col("i")).alias("ordinal"), "n_tokens", F.lit(True).alias("ended"))
     rest = F.col("end") - F.coalesce("final", F.lit(-1)) - 1
-    open_ = stitched.where("begin = 0").where(rest > 0).select("file", F.col("all").alias("ordinal"), rest.alias("n_tokens"), F.lit(False).alias("ended"))
+    open_ = slim.where("begin = 0").where(rest > 0).select("file", F.col("all").alias("ordinal"), rest.alias("n_tokens"), F.lit(False).alias("ended"))
     return ended.unionByName(open_)
 
 
 def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
-    """One row per row of docs: key, n_tokens. Null and empty texts have 0; repeated rows each their own; other columns don't matter."""
+    """One row per row of docs: key, n_tokens. Null and empty texts have 0; repeated rows each their own; long texts are tokenised
+    whole, one at a time in memory; other columns don't matter and may have any names. An empty table gives no rows."""
     folder = new_path(docs.sparkSession, "token-files")
     index = write_token_files(docs, folder, key, text, tokenizer)
     counted = scan_token_files(index.select("file")).where("ended").select("file", "ordinal", "n_tokens")

@@ -41,6 +41,15 @@ def test_mixing_follows_targets(docs):
     assert mixing.mix(docs([])).count() == 0
 
 
+def test_mixing_by_shelves(docs, monkeypatch):
+    monkeypatch.setattr(mixing, "ROWS_A_BIN", 2)
+    d = docs([("w " * (1 + i % 5)).strip() for i in range(200)])
+    key = lambda rows: sorted((r.doc_id, r.size, r.taken) for r in rows)
+    want = key(mixing.mix(d).collect())
+    monkeypatch.setattr(mixing, "BINS_A_SHELF", 3)
+    assert key(mixing.mix(d).collect()) == want
+
+
 def test_mixing_one_source_and_no_words(docs):
     assert {(r.size, r.taken) for r in mixing.mix(docs(["a b", "c"], sources=["x", "x"])).collect()} == {(2, 2), (1, 1)}
     assert {r.taken for r in mixing.mix(docs(["", None], sources=["x", None])).collect()} == {0}
