@@ -333,6 +333,17 @@ def profile_samples(spark, sf_dir):
     return profile.sample_values(_counts(table(spark, sf_dir, "orders").select(*_FLAT)))
 
 
+@query("""SELECT 'items[].flags[]' AS path, count(*) FILTER (WHERE even) / count(*) AS present_ratio, CAST(sum(n) AS BIGINT) AS n FROM
+  (SELECT l_orderkey, bool_or(l_linenumber % 2 = 0) AS even, count(*) FILTER (WHERE l_linenumber % 2 = 0) AS n FROM lineitem GROUP BY l_orderkey)""")
+def profile_nested_presence(spark, sf_dir):
+    flags = F.when(F.col("l_linenumber") % 2 == 0, F.array("l_returnflag"))
+    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", flags.alias("flags"))).alias("items"))
+    df = items.select("l_orderkey", F.array_sort("items").alias("items"))
+    counts = _counts(df)
+    stats = profile.field_stats(counts, df.count()).where("path = 'items[].flags[]'").select("path", "present_ratio")
+    return stats.join(profile.type_counts(counts).groupBy("path").agg(F.sum("n").cast("long").alias("n")), "path")
+
+
 @query("SELECT 'turns[]' AS path, CAST(max(n) AS INT) AS max_array_length FROM (SELECT count(*) AS n FROM conversations GROUP BY conv_id)")
 def profile_array_len(spark, sf_dir):
     df = _turns(spark, sf_dir).select(F.transform("turns", lambda t: t["role"]).alias("turns"))

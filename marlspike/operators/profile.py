@@ -1,7 +1,7 @@
 """Profiles: statistics for each path of a dataset, from one pass over its flattened observations.
 
-A record becomes one array of observations, which is inlined; no record id and no distinct count is needed, because the
-first observation of a path in a record is marked. One aggregate by (path, type, text) is shared by all statistics; what is
+A record becomes one array of observations, which is inlined; no record id and no distinct count is needed, because a path's
+presence in a record is marked: on its one observation, or for paths in lists by a mark beside them. One aggregate by (path, type, text) is shared by all statistics; what is
 per path is aggregated from it, and top values go through buckets, so that a path with as many values as records is never
 sorted in one task."""
 
@@ -42,33 +42,50 @@ def type_label(t: T.DataType) -> str:
     return "str"
 
 
-def _one(path: str, c: Column, t: T.DataType, first: Column) -> Column:
+def _one(path: str, c: Column, t: T.DataType, first: bool) -> Column:
     label = type_label(t)
     num = c.cast("double") if is_number(t) else F.lit(None).cast("double")
     size = F.length(c) if label == "str" and isinstance(t, T.StringType) else F.size(c) if label == "list" else F.lit(None).cast("int")
     text = F.coalesce(py_str(c, t), F.lit("None"))
-    return F.struct(F.lit(path).alias("path"), F.when(c.isNull(), "null").otherwise(label).alias("type"), text.alias("text"), num.alias("num"), F.when(c.isNotNull(), size).alias("len"), c.isNull().alias("missing"), first.alias("first")).cast(OBSERVATION)
+    return F.struct(F.lit(path).alias("path"), F.when(c.isNull(), "null").otherwise(label).alias("type"), text.alias("text"), num.alias("num"), F.when(c.isNotNull(), size).alias("len"), c.isNull().alias("missing"), F.lit(first).alias("first")).cast(OBSERVATION)
 
 
-def _observations(path: str, c: Column, t: T.DataType, first: Column) -> Column:
-    """Array of the observations at and below a path."""
+def _observations(path: str, c: Column, t: T.DataType, first: bool = True) -> Column:
+    """Array of the observations at and below a path; those in lists are not marked."""
     none = F.array().cast(f"array<{OBSERVATION}>")
     if isinstance(t, T.StructType):
         parts = [_observations(f"{path}.{f.name}" if path else f.name, c.getField(f.name), f.dataType, first) for f in t.fields]
         return F.when(c.isNull(), none).otherwise(F.concat(*parts)) if parts else none
     if isinstance(t, T.ArrayType):
         inner = f"{path}[]"
-        items = F.flatten(F.transform(c, lambda x, i: _observations(inner, x, t.elementType, first & (i == 0))))
-        empty = F.array(F.struct(F.lit(inner).alias("path"), F.lit("list").alias("type"), F.lit("[]").alias("text"), F.lit(None).cast("double").alias("num"), F.lit(0).alias("len"), F.lit(False).alias("missing"), first.alias("first")).cast(OBSERVATION))
+        items = F.flatten(F.transform(c, lambda x: _observations(inner, x, t.elementType, False)))
+        empty = F.array(F.struct(F.lit(inner).alias("path"), F.lit("list").alias("type"), F.lit("[]").alias("text"), F.lit(None).cast("double").alias("num"), F.lit(0).alias("len"), F.lit(False).alias("missing"), F.lit(False).alias("first")).cast(OBSERVATION))
         below = F.when(c.isNull(), none).when(F.size(c) == 0, empty).otherwise(items)
         return F.concat(F.array(_one(path, c, t, first)), below)
     return F.array(_one(path, c, t, first))
 
 
+def _has_list(t: T.DataType) -> bool:
+    return isinstance(t, T.ArrayType) or isinstance(t, T.StructType) and any(_has_list(f.dataType) for f in t.fields)
+
+
+def record_observations(fields: list[T.StructField]) -> Column:
+    """Array of a record's observations, and of one mark without type and text for each of its paths in lists."""
+    every = []
+    for f in fields:
+        found = _observations(f.name, F.col(f"`{f.name}`"), f.dataType)
+        if _has_list(f.dataType):
+            inside = F.array_distinct(F.transform(F.filter(found, lambda o: ~o["first"]), lambda o: o["path"]))
+            none = [F.lit(None).alias(n) for n in ("type", "text", "num", "len")]
+            marks = F.transform(inside, lambda p: F.struct(p.alias("path"), *none, F.lit(True).alias("missing"), F.lit(True).alias("first")).cast(OBSERVATION))
+            found = F.concat(found, marks)
+        every.append(found)
+    return F.concat(*every)
+
+
 def flatten_records(df: DataFrame) -> DataFrame:
-    """All observations of the records: path, type, text, num, len, missing, first."""
-    parts = [_observations(f.name, F.col(f"`{f.name}`"), f.dataType, F.lit(True)) for f in df.schema.fields]
-    return df.select(F.explode(F.concat(*parts)).alias("o")).select("o.*")
+    """All observations and marks of the records: path, type, text, num, len, missing, first."""
+    return df.select(F.explode(record_observations(df.schema.fields)).alias("o")).select("o.*")
 
 
 def flatten_variant(df: DataFrame, record: str = "record", rid: str = "rid", depth: int = 8) -> DataFrame:
@@ -90,9 +107,9 @@ def flatten_variant(df: DataFrame, record: str = "record", rid: str = "rid", dep
 
 
 def value_counts(observations: DataFrame) -> DataFrame:
-    """The shared aggregate: one row for each path, type and text."""
+    """The shared aggregate: one row for each path, type and text; the marks of paths in lists have no type, no text and n = 0."""
     return observations.groupBy("path", "type", "text").agg(
-        F.count("*").alias("n"),
+        F.count("type").alias("n"),
         F.sum(F.col("first").cast("long")).alias("records"),
         F.max("missing").alias("missing"),
         F.min("num").alias("low"),
@@ -103,7 +120,7 @@ def value_counts(observations: DataFrame) -> DataFrame:
 
 
 def type_counts(counts: DataFrame) -> DataFrame:
-    return counts.groupBy("path", "type").agg(F.sum("n").alias("n"))
+    return counts.where("type IS NOT NULL").groupBy("path", "type").agg(F.sum("n").alias("n"))
 
 
 def field_stats(counts: DataFrame, n_records: int) -> DataFrame:
@@ -156,7 +173,7 @@ def top_values(counts: DataFrame, limit: int = TOP) -> DataFrame:
 
 def sample_values(counts: DataFrame, limit: int = TOP) -> DataFrame:
     """(path, rank, text): each path's first distinct texts in text order; null counts as None."""
-    return _first_in_buckets(counts.select("path", "text").distinct(), [F.col("text")], limit)
+    return _first_in_buckets(counts.where("type IS NOT NULL").select("path", "text").distinct(), [F.col("text")], limit)
 
 
 @dataclass
@@ -202,15 +219,13 @@ def representative_samples(df: DataFrame, rid: str, limit: int = 3, texts: Colum
     limit rounds of one aggregate and a top-1 each; only the winners come to the driver. A limit of 0 counts as 3."""
     limit = limit or 3
     body = [c for c in df.columns if c != rid]
-    parts = [_observations(f.name, F.col(f"`{f.name}`"), f.dataType, F.lit(True)) for f in df.schema.fields if f.name != rid]
-    obs = df.select(F.col(rid).alias("rid"), F.explode(F.concat(*parts)).alias("o")).select("rid", "o.*")
+    obs = df.select(F.col(rid).alias("rid"), F.explode(record_observations([f for f in df.schema.fields if f.name != rid])).alias("o")).select("rid", "o.*")
     paths = obs.where("first").groupBy("path").agg(F.count("*").alias("path_n"))
-    typed = obs.groupBy("path", "type").agg(F.count("*").alias("typed_n"))
-    # as many rows as paths and types
-    weighed = obs.join(F.broadcast(typed), ["path", "type"]).join(F.broadcast(paths), "path")
+    typed = obs.where("type IS NOT NULL").groupBy("path", "type").agg(F.count("*").alias("typed_n"))
+    weighed = obs.join(typed, ["path", "type"], "left").join(paths, "path")
     scored = weighed.groupBy("rid").agg(
         F.sum((~F.col("missing")).cast("int")).alias("values"),
-        F.sum(1.0 / F.col("typed_n") + F.when(F.col("first"), 1.0 / F.col("path_n")).otherwise(0.0)).alias("rarity"),
+        F.sum(F.coalesce(1.0 / F.col("typed_n"), F.lit(0.0)) + F.when(F.col("first"), 1.0 / F.col("path_n")).otherwise(0.0)).alias("rarity"),
         F.collect_set("path").alias("paths"),
     )
     canonical = texts if texts is not None else F.to_json(F.struct(*body))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import csv
+import io
 import re
 from collections import defaultdict
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,15 +62,30 @@ def _first_bytes(spark: SparkSession, path: str, n: int = 2048) -> str:
         stream.close()
 
 
+def _first_record(spark: SparkSession, path: str) -> tuple[str, str]:
+    """(first 2 KiB, whole first record) of a CSV file, whatever the record's length and the line ends in its quotes."""
+    n = 2048
+    head = whole = _first_bytes(spark, path, n)
+    while True:
+        quotes = accumulate(whole, lambda inside, c: inside ^ (c == '"'), initial=False)
+        end = next((i for i, (c, inside) in enumerate(zip(whole, quotes)) if c in "\r\n" and not inside and whole[:i].strip("\ufeff\r\n")), None)
+        if end is not None:
+            return head, whole[:end]
+        if len(whole.encode("utf-8", "replace")) < n:
+            return head, whole
+        n *= 8
+        whole = _first_bytes(spark, path, n)
+
+
 def is_folder(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
 
 
 def read_csv(spark: SparkSession, path: str) -> Dataset:
-    """CSV with a header; the delimiter is sniffed from the first 2 KiB, comma in doubt. All values are texts, empty ones
-    null; short rows are filled with nulls, surplus cells ignored."""
-    head = _first_bytes(spark, path)
+    """CSV with a header of any length; the delimiter is sniffed from the first 2 KiB, comma in doubt. All values are texts,
+    empty ones null; short rows are filled with nulls, surplus cells ignored."""
+    head, record = _first_record(spark, path)
     if not head.strip():
         raise ValueError(f"{path}: a CSV file needs a header")
     try:
@@ -76,7 +93,7 @@ def read_csv(spark: SparkSession, path: str) -> Dataset:
         delimiter = dialect.delimiter if dialect.delimiter in ",;\t|" else ","
     except csv.Error:
         delimiter = ","
-    names = next(csv.reader(head.lstrip("﻿").splitlines(), delimiter=delimiter))
+    names = next(csv.reader(io.StringIO(record.lstrip("\ufeff\r\n"), newline=""), delimiter=delimiter))
     originals = normalised_headers(names)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in originals])
     df = spark.read.schema(schema).options(header=True, sep=delimiter, escape='"', multiLine=True, enforceSchema=True, nullValue="").csv(path)

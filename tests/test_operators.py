@@ -31,6 +31,16 @@ def test_csv(spark, tmp_path):
         readers.load_dataset(spark, "x.xml")
 
 
+def test_csv_with_a_long_header(spark, tmp_path):
+    names = [f"a rather long name of column {i:04}" for i in range(400)] + ['in "two"\nlines; ' + "x" * 5000, "last"]
+    quoted = ";".join('"' + n.replace('"', '""') + '"' if "\n" in n else n for n in names)
+    (tmp_path / "w.csv").write_text("\n" + quoted + "\n" + ";".join(str(i) for i in range(402)) + "\n")
+    d = readers.load_dataset(spark, str(tmp_path / "w.csv"))
+    assert list(d.original_names.values()) == names and len(d.records.columns) == 402
+    (row,) = d.records.collect()
+    assert list(row) == [str(i) for i in range(402)]
+
+
 def test_json_roots(spark, tmp_path):
     for name, text, root, n in (("o", '{"a": 1}', "object", 1), ("l", '[{"a": 1}, {"a": 2}]', "list", 2), ("v", "[1, 2]", "list", 1), ("s", "3", "object", 1)):
         (tmp_path / f"{name}.json").write_text(text)
@@ -65,6 +75,17 @@ def test_profile_and_fingerprint(spark):
     assert profile.profile(df.drop("m")).fingerprint != p.fingerprint
 
 
+def test_presence_below_nested_lists(spark):
+    schema = "id int, tasks array<struct<name:string,tags:array<string>,deep:array<array<int>>>>"
+    rows = [(1, [("a", None, [[]]), ("b", ["x", "y"], None)]), (2, [None, ("c", ["z"], [None, [1]])]), (3, [("d", [], None)]), (4, None), (5, [])]
+    got = {r.path: r for r in profile.profile(spark.createDataFrame(rows, schema)).fields.collect()}
+    want = {"id": 5, "tasks": 5, "tasks[]": 1, "tasks[].name": 3, "tasks[].tags": 3, "tasks[].tags[]": 3, "tasks[].deep": 3, "tasks[].deep[]": 2, "tasks[].deep[][]": 2}
+    assert {p: round(r.present_ratio * 5) for p, r in got.items()} == want
+    assert [t.type for t in got["tasks[].tags[]"].observed_types] == ["list", "str"] and got["tasks[].tags[]"].sample_values == ["[]", "x", "y", "z"]
+    picks = profile.representative_samples(spark.createDataFrame(rows, schema), "id", 1)
+    assert "tasks[].tags[]" in picks[0]["covered_paths"]
+
+
 def test_samples_and_evidence(spark):
     df = spark.createDataFrame([(0, "a", None), (1, "b", [1]), (2, "c", None)], "rid int, x string, y array<int>")
     picks = profile.representative_samples(df, "rid", 2)
