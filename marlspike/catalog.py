@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marlspike.functions import paths
 from marlspike.operators import drift, evaluate, patch, profile, scenario, schema, synthetic, validation
+from marlspike.plans import repair
 from marlspike.plans.compile import ERROR, CompiledProgram, compile_program
 from marlspike.plans.ir import Program
-from marlspike.sources import readers
+from marlspike.sources import readers, writers
 from marlspike.streaming.mapping import map_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -350,9 +352,16 @@ def profile_array_len(spark, sf_dir):
     return profile.field_stats(_counts(df), df.count()).where("max_array_length IS NOT NULL").select("path", "max_array_length")
 
 
-@query()
+def _shape(path: str, label: str) -> str:
+    return f"""'{{"nullable":' || CASE WHEN count({path}) < count(*) THEN 'true' ELSE 'false' END || ',"optional":false,"path":"{path}","types":[' || CASE WHEN count({path}) < count(*) AND count({path}) > 0 THEN '"{min(label, 'null')}","{max(label, 'null')}"' WHEN count({path}) = 0 THEN '"null"' ELSE '"{label}"' END || ']}}'"""
+
+
+_SHAPES = [_shape("c_acctbal", "float"), _shape("c_custkey", "int"), _shape("c_mktsegment", "str"), _shape("c_name", "str"), _shape("c_nationkey", "int")]
+
+
+@query(f"SELECT sha256('[' || {' || \',\' || '.join(_SHAPES)} || ']') AS fingerprint FROM customer")
 def profile_fingerprint(spark, sf_dir):
-    df = table(spark, sf_dir, "region")
+    df = table(spark, sf_dir, "customer")
     return spark.createDataFrame([(profile.profile(df).fingerprint,)], "fingerprint string")
 
 
@@ -425,27 +434,53 @@ def _drifted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return base, new
 
 
-@query("SELECT * FROM (VALUES ('o_orderkey', 'shared', 'no_change'), ('o_orderpriority', 'shared', 'semantic_change'), ('o_totalprice', 'shared', 'semantic_change'), ('o_orderstatus', 'removed', 'breaking_change'), ('o_order_status', 'added', 'additive_compatible'), ('o_new', 'added', 'additive_compatible')) t(path, kind, classification)")
+def _top(expression: str) -> str:
+    """SQL for a field's enum values: the list of its five most frequent texts."""
+    return f"(SELECT list(v) FROM (SELECT CAST({expression} AS VARCHAR) AS v, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, v LIMIT 5))"
+
+
+def _overlap(b: str, c: str) -> str:
+    return f"len(list_intersect({_top(b)}, {_top(c)})) / len(list_distinct(list_concat({_top(b)}, {_top(c)})))"
+
+
+_SAME_PRIORITY = _overlap("o_orderpriority", "'p' || o_orderpriority")
+#: Statistics of the two versions of orders, and the rules that fit their types.
+_CHANGES = f"""SELECT 'o_orderkey' AS path, 'shared' AS kind, 'no_change' AS classification FROM orders HAVING count(o_orderkey) = count(*)
+UNION ALL SELECT 'o_orderpriority', 'shared', CASE WHEN {_SAME_PRIORITY} < 0.25 THEN 'semantic_change' ELSE 'no_change' END
+UNION ALL SELECT 'o_totalprice', 'shared', CASE WHEN typeof(any_value(o_totalprice)) = 'DOUBLE' THEN 'semantic_change' ELSE 'no_change' END FROM orders
+UNION ALL SELECT 'o_orderstatus', 'removed', CASE WHEN count(o_orderstatus) >= 0.95 * count(*) THEN 'breaking_change' ELSE 'semantic_change' END FROM orders
+UNION ALL SELECT 'o_order_status', 'added', 'additive_compatible' UNION ALL SELECT 'o_new', 'added', 'additive_compatible'"""
+
+
+@query(_CHANGES)
 def drift_diff_full_outer(spark, sf_dir):
     base, new = _drifted(spark, sf_dir)
     return drift.classified(drift.compared(profile.profile(base).signatures(), profile.profile(new).signatures())).select("path", "kind", "classification")
 
 
-@query("SELECT * FROM (VALUES ('renamed', 'o_orderstatus', 'o_order_status', 'rename_compatible'), ('changed', 'o_orderpriority', 'o_orderpriority', 'semantic_change'), ('changed', 'o_totalprice', 'o_totalprice', 'semantic_change'), ('added', NULL, 'o_new', 'additive_compatible')) t(kind, baseline_path, candidate_path, classification)")
+_RENAME = """0.7 * CAST(replace('o_orderstatus', '_', '') = replace('o_order_status', '_', '') AS INT)
+  + 0.2 * (1 - abs(count(*) / count(*) - count(*) / count(*))) + 0.1 * (1 - abs(count(*) FILTER (WHERE o_orderstatus IS NULL) / count(*) - count(*) FILTER (WHERE o_orderstatus IS NULL) / count(*)))"""
+
+
+@query(f"""WITH c AS ({_CHANGES}), r AS (SELECT {_RENAME} AS score FROM orders)
+SELECT 'changed' AS kind, path AS baseline_path, path AS candidate_path, classification FROM c WHERE kind = 'shared' AND classification <> 'no_change'
+UNION ALL SELECT 'renamed', 'o_orderstatus', 'o_order_status', 'rename_compatible' FROM r WHERE score >= 0.72
+UNION ALL SELECT kind, CASE kind WHEN 'removed' THEN path END, CASE kind WHEN 'added' THEN path END, classification FROM c, r
+  WHERE kind <> 'shared' AND NOT (score >= 0.72 AND path IN ('o_orderstatus', 'o_order_status'))""")
 def drift_classify(spark, sf_dir):
     base, new = _drifted(spark, sf_dir)
     report = drift.classify_drift(profile.profile(base).signatures(), profile.profile(new).signatures())
     return spark.createDataFrame([(d.kind, d.baseline_path, d.candidate_path, d.classification) for d in report.drifts], "kind string, baseline_path string, candidate_path string, classification string")
 
 
-@query("SELECT 'o_orderpriority' AS path, 0.0::DOUBLE AS overlap UNION ALL SELECT 'o_orderkey', 1.0")
+@query(f"SELECT 'o_orderpriority' AS path, {_SAME_PRIORITY} AS overlap UNION ALL SELECT 'o_orderkey', {_overlap('o_orderkey', 'o_orderkey')}")
 def drift_enum_jaccard(spark, sf_dir):
     base, new = _drifted(spark, sf_dir)
     both = drift.compared(profile.profile(base).signatures(), profile.profile(new).signatures())
     return both.where("kind = 'shared' AND path <> 'o_totalprice'").select("path", drift.enum_jaccard().alias("overlap"))
 
 
-@query("SELECT 'o_orderstatus' AS removed, 'o_order_status' AS added, 1.0::DOUBLE AS score")
+@query(f"SELECT 'o_orderstatus' AS removed, 'o_order_status' AS added, round(CAST({_RENAME} AS DOUBLE), 6) AS score FROM orders")
 def drift_rename_pairs(spark, sf_dir):
     base, new = _drifted(spark, sf_dir)
     both = drift.compared(profile.profile(base).signatures(), profile.profile(new).signatures()).collect()
@@ -608,6 +643,74 @@ def dedupe_merge_votes(spark, sf_dir):
     return spark.createDataFrame([(f.semantic_name, f.dtype, f.description, f.nullable, f.confidence) for f in merged.fields], "semantic_name string, dtype string, description string, nullable boolean, confidence double")
 
 
+def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    asked = F.col("o_orderstatus") != "P"
+    return _cases(spark, sf_dir).withColumns({"status": F.col("expected.o_orderstatus"), "o_orderstatus": F.col("expected.o_orderstatus")}).withColumns({"execution_success": k % 7 != 0, "structural_validity": F.when(asked, k % 5 != 0), "semantic_validity": F.when(asked, k % 3 != 0)})
+
+
+_FLAGS = "SELECT o_orderstatus AS status, o_orderkey % 7 <> 0 AS e, CASE WHEN o_orderstatus <> 'P' THEN o_orderkey % 5 <> 0 END AS s, CASE WHEN o_orderstatus <> 'P' THEN o_orderkey % 3 <> 0 END AS m FROM orders"
+
+
+@query(f"""SELECT status, 1.0::DOUBLE AS build_success, round(avg(e::INT), 6) AS execution_success_rate, round(avg((e AND coalesce(s AND m, s IS NULL OR m IS NULL))::INT), 6) AS runtime_validity_rate,
+  round(avg(s::INT), 6) AS structural_validity_rate, round(avg(m::INT), 6) AS semantic_validity_rate, 0.5::DOUBLE AS mapping_quality FROM ({_FLAGS}) GROUP BY status""")
+def eval_stage_metrics(spark, sf_dir):
+    out = evaluate.stage_metrics(_flagged(spark, sf_dir), ["status"], overrides={"mapping_quality": 0.5})
+    return out.select("status", "build_success", *[F.round(c, 6).alias(c) for c in ("execution_success_rate", "runtime_validity_rate", "structural_validity_rate", "semantic_validity_rate")], "mapping_quality")
+
+
+@query(f"""SELECT status, 'stage' AS metric_group, 'stage.' || n AS metric_name, round(v, 6) AS value FROM (SELECT status, unnest(['build_success', 'execution_success_rate', 'runtime_validity_rate', 'structural_validity_rate', 'semantic_validity_rate']) AS n,
+  unnest([1.0, avg(e::INT), avg((e AND coalesce(s AND m, s IS NULL OR m IS NULL))::INT), avg(s::INT), avg(m::INT)]) AS v FROM ({_FLAGS}) GROUP BY status) WHERE v IS NOT NULL""")
+def eval_observation_metrics(spark, sf_dir):
+    out = evaluate.observation_metrics(_flagged(spark, sf_dir), ["status"]).where("metric_group = 'stage'")
+    return out.select("status", "metric_group", "metric_name", F.round("value", 6).alias("value"))
+
+
+@query(f"SELECT 'lines' AS experiment_name, f AS scenario_name, CASE WHEN s = 'O' THEN 'drift' ELSE 'base' END AS bundle_kind, metric_name, count(*) AS n, round(sum(value), 4) AS total FROM ({_ROWS}) GROUP BY ALL")
+def sink_boxplot_rows(spark, sf_dir):
+    rows = writers.in_columns(_metric_rows(spark, sf_dir), writers.BOXPLOT_COLUMNS, experiment_name="lines")
+    return rows.groupBy("experiment_name", "scenario_name", "bundle_kind", "metric_name").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("""SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) - 1 AS INT) AS position, l_linenumber AS line, l_linenumber * 10 AS gold FROM lineitem""")
+def eval_zip_gold(spark, sf_dir):
+    lists = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_linenumber")).alias("raw"))
+    pairs = evaluate.zip_with_gold(lists.withColumn("gold", F.transform("raw", lambda x: x * 10)), "raw", "gold", ["l_orderkey"])
+    return pairs.select("l_orderkey", "position", F.col("raw").alias("line"), "gold")
+
+
+@query("SELECT o_orderkey, '{\"id\":' || o_orderkey || ',\"who\":{\"status\":\"' || o_orderstatus || '\"}}' AS record FROM orders")
+def path_remove(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.struct(F.col("o_orderkey").alias("id"), F.struct(F.col("o_custkey").alias("key"), F.col("o_orderstatus").alias("status")).alias("who")).alias("r"))
+    left = paths.remove_path(F.col("r"), orders.schema["r"].dataType, "who[].key")
+    return orders.select("o_orderkey", F.to_json(left.col).alias("record"))
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus AS status, o_orderpriority AS label FROM orders")
+def repair_then_map(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    proposal = {
+        "source_refs": [{"id": "key", "path": "o_orderkey", "dtype": "int"}, {"id": "priority", "path": "o_orderpriority", "dtype": "str"}],
+        "steps": [{"id": "id", "operation": {"kind": "cast", "source_ref": "o_orderkey", "to_type": "str"}}, {"id": "label", "operation": {"kind": "derive", "source_refs": ["priority", "o_orderstatus"], "expression": "coalesce(priority, o_orderstatus)"}}],
+        "assignments": [{"step_id": "id", "target_path": "id"}, {"step_id": "o_orderstatus", "target_path": "status"}, {"step_id": "label", "target_path": "label"}],
+        "preconditions": [{"ref": "priority", "kind": "non_null"}],
+    }
+    want = T.StructType([T.StructField("id", T.StringType()), T.StructField("status", T.StringType()), T.StructField("label", T.StringType()), T.StructField("notes", T.ArrayType(T.StringType()))])
+    fixed, _ = repair.repair(proposal, orders.columns, want)
+    return mapped(orders, fixed, "target.id", "target.status", "target.label")
+
+
+@query("""WITH c AS (SELECT c_custkey, c_mktsegment AS p, c_nationkey % 4 AS completeness, c_custkey % 3 AS rarity FROM customer),
+a AS (SELECT * FROM c ORDER BY 2 + completeness + rarity DESC, c_custkey LIMIT 1),
+b AS (SELECT * FROM c WHERE c_custkey <> (SELECT c_custkey FROM a) ORDER BY CAST(p <> (SELECT p FROM a) AS INT) + completeness + rarity DESC, c_custkey LIMIT 1)
+SELECT 0 AS pick, c_custkey AS record_id, (2 + completeness + rarity)::DOUBLE AS score, 2 AS added FROM a
+UNION ALL SELECT 1, c_custkey, (CAST(p <> (SELECT p FROM a) AS INT) + completeness + rarity)::DOUBLE, CAST(p <> (SELECT p FROM a) AS INT) FROM b""")
+def sample_candidates(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("record_id"), F.array(F.lit("id"), "c_mktsegment").alias("paths"), (F.col("c_nationkey") % 4).alias("completeness"), (F.col("c_custkey") % 3).alias("rarity"))
+    picks = profile.select_candidates(rows, 2)
+    return spark.createDataFrame([(i, p["record_id"], float(p["score"]), len(p["covered_paths"])) for i, p in enumerate(picks)], "pick int, record_id long, score double, added int")
+
+
 # Sources, generation, streams
 
 

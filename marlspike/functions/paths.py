@@ -70,3 +70,20 @@ def build_struct(writes: dict[str, Value]) -> Value:
         return Value(F.struct(*[v.col.alias(k) for k, v in fields.items()]), T.StructType([T.StructField(k, v.type) for k, v in fields.items()]))
 
     return made(tree)
+
+
+def remove_path(column: Column, kind: T.DataType, path: str) -> Value:
+    """A record without the field at a path. `[]` in it doesn't count; a path that isn't there, or that leads through a list, removes nothing."""
+    parts = [p.replace("[]", "") for p in path.split(".") if p]
+    return Value(*_without(column, kind, parts)) if parts else Value(column, kind)
+
+
+def _without(column: Column, kind: T.DataType, parts: list[str]) -> tuple[Column, T.DataType]:
+    if not isinstance(kind, T.StructType) or parts[0] not in kind.names:
+        return column, kind
+    if len(parts) == 1:
+        fields = {f.name: (column.getField(f.name), f.dataType) for f in kind.fields if f.name != parts[0]}
+    else:
+        fields = {f.name: _without(column.getField(f.name), f.dataType, parts[1:]) if f.name == parts[0] else (column.getField(f.name), f.dataType) for f in kind.fields}
+    out = T.StructType([T.StructField(n, t) for n, (_, t) in fields.items()])
+    return F.when(column.isNotNull(), F.struct(*[c.alias(n) for n, (c, _) in fields.items()]).cast(out)), out

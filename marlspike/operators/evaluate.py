@@ -73,36 +73,72 @@ def metric_rows(df: DataFrame, metrics: list[str], group: str = "benchmark") ->
     return df.unpivot(rest, metrics, "metric_name", "value").where("value IS NOT NULL").withColumn("metric_group", F.lit(group))
 
 
+def _statistics(v: Column, run: str) -> list[Column]:
+    """run_count and statistics of a value, the quartiles in one array; they interpolate between ranks."""
+    return [F.count_distinct(run).alias("run_count"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("stdev"), F.min(v).alias("min"), F.max(v).alias("max"), F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")]
+
+
 def summary_stats(df: DataFrame, keys: list[str], value: str = "value", run: str = "run_id") -> DataFrame:
-    """run_count and eight statistics of a value by keys; quartiles interpolate between ranks."""
-    v = F.col(value)
-    out = df.groupBy(*keys).agg(
-        F.count_distinct(run).alias("run_count"),
-        F.avg(v).alias("mean"),
-        F.percentile(v, 0.5).alias("median"),
-        F.stddev_pop(v).alias("stdev"),
-        F.min(v).alias("min"),
-        F.max(v).alias("max"),
-        F.percentile(v, 0.25).alias("q1"),
-        F.percentile(v, 0.75).alias("q3"),
-    )
-    return out.withColumn("iqr", F.col("q3") - F.col("q1"))
+    """run_count and eight statistics of a value by keys."""
+    out = df.groupBy(*keys).agg(*_statistics(F.col(value), run))
+    q1, median, q3 = (F.col("q")[i] for i in range(3))
+    return out.select(*keys, "run_count", "mean", median.alias("median"), "stdev", "min", "max", q1.alias("q1"), q3.alias("q3"), (q3 - q1).alias("iqr"))
+
+
+#: Roll-ups, and the columns that they group by; the last three are of drift bundles alone. Fixed values.
+ROLL_UPS = (("scenario", "scenario_name"), ("bundle_kind", "bundle_kind"), ("drift_type", "drift_type"), ("severity", "severity"), ("compatibility", "compatibility_class"))
 
 
 def summarise(rows: DataFrame) -> DataFrame:
-    """The five roll-ups of metric rows: by scenario, bundle kind, drift type, severity and compatibility class."""
-    label = lambda c: F.concat_ws(" / ", F.col(c), F.col("subject_name"))
-    keys = ["group_type", "group_label", "subject_name", "metric_group", "metric_name"]
-    parts = []
-    for kind, column in (("scenario", "scenario_name"), ("bundle_kind", "bundle_kind"), ("drift_type", "drift_type"), ("severity", "severity"), ("compatibility", "compatibility_class")):
-        some = rows.where(F.col(column).isNotNull() & (F.col(column) != ""))
+    """The five roll-ups of metric rows in one aggregate: by scenario, bundle kind, drift type, severity and compatibility class."""
+    groups = []
+    for kind, column in ROLL_UPS:
+        there = F.col(column).isNotNull() & (F.col(column) != "")
         if kind in ("drift_type", "severity", "compatibility"):
-            some = some.where("bundle_kind = 'drift'")
-        parts.append(summary_stats(some.withColumns({"group_type": F.lit(kind), "group_label": label(column)}), keys))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.orderBy(*keys)
+            there = there & (F.col("bundle_kind") == "drift")
+        groups.append(F.when(there, F.struct(F.lit(kind).alias("group_type"), F.concat_ws(" / ", F.col(column), F.col("subject_name")).alias("group_label"))))
+    each = rows.withColumn("g", F.explode(F.filter(F.array(*groups), lambda g: g.isNotNull()))).select("*", "g.*")
+    return summary_stats(each, ["group_type", "group_label", "subject_name", "metric_group", "metric_name"])
+
+
+def runtime_valid() -> Column:
+    """Whether a case ran, and was valid in both ways where both were asked."""
+    both = F.col("structural_validity") & F.col("semantic_validity")
+    return F.col("execution_success") & F.coalesce(both, F.col("structural_validity").isNull() | F.col("semantic_validity").isNull())
+
+
+def stage_metrics(cases: DataFrame, by: list[str] = (), prepared: bool = True, coverage: float | None = None, overrides: dict[str, float | bool] | None = None) -> DataFrame:
+    """Rates of each stage over the cases of each group of `by`: flags that are null don't count, and a rate without flags is null.
+
+    coverage, of an acceptance report, is the runtime rate where it is given; overrides are what the caller measured, and come first."""
+    rate = lambda c: F.avg(c.cast("double"))
+    found = {
+        "build_success": F.lit(float(prepared)),
+        "execution_success_rate": F.coalesce(rate(F.col("execution_success")), F.lit(0.0)),
+        "runtime_validity_rate": F.coalesce(rate(runtime_valid()), F.lit(0.0)) if coverage is None else F.lit(float(coverage)),
+        "structural_validity_rate": rate(F.col("structural_validity")),
+        "semantic_validity_rate": rate(F.col("semantic_validity")),
+        "source_structure_recovery": F.lit(None).cast("double"),
+        "mapping_quality": F.lit(None).cast("double"),
+    }
+    found |= {k: F.lit(float(v)) for k, v in (overrides or {}).items() if v is not None}
+    return cases.groupBy(*by).agg(*[c.alias(k) for k, c in found.items()])
+
+
+def observation_metrics(cases: DataFrame, by: list[str]) -> DataFrame:
+    """Long rows (by, metric_group, metric_name, value) of the run's metrics and its stages, those without a value left out."""
+    names = ["required_accuracy", "macro_accuracy", "micro_accuracy", "pass_at_1", "coverage"]
+    runs = metric_rows(run_metrics(cases, by).select(*by, *names), names)
+    stages = stage_metrics(cases, by)
+    named = metric_rows(stages, [c for c in stages.columns if c not in by], "stage").withColumn("metric_name", F.concat(F.lit("stage."), "metric_name"))
+    return runs.unionByName(named)
+
+
+def zip_with_gold(df: DataFrame, raw: str, gold: str, keep: list[str] = ()) -> DataFrame:
+    """keep, position, raw and gold: the items of two lists of a row, matched by position; lists of unequal length are an error."""
+    same = F.coalesce(F.size(raw), F.lit(0)) == F.coalesce(F.size(gold), F.lit(0))
+    checked = F.when(same, F.arrays_zip(F.col(raw).alias("raw"), F.col(gold).alias("gold"))).otherwise(F.raise_error(F.lit(f"{raw} and {gold} have not the same length")))
+    return df.select(*keep, F.posexplode(checked).alias("position", "pair")).select(*keep, "position", F.col("pair.raw").alias("raw"), F.col("pair.gold").alias("gold"))
 
 
 @dataclass(frozen=True)
@@ -114,6 +150,26 @@ class Scenario:
     tags: tuple[str, ...] = ()
 
 
+def bundle_tags(bundle: dict) -> tuple[str, ...]:
+    """What a bundle's scenario is tagged with: its kind and origin, and its drift."""
+    tags = ["synthetic", bundle["bundle_kind"], f"bundle_kind:{bundle['bundle_kind']}", f"dataset:{bundle['bundle_id']}", f"template:{bundle['template'].get('template_id', 'base')}"]
+    if drift := bundle.get("drift_manifest"):
+        tags += ["drift", *(f"{k}:{drift[k]}" for k in ("drift_id", "drift_type", "severity")), f"compatibility:{drift['compatibility_class']}"]
+    return tuple(dict.fromkeys(tags))
+
+
+def scenario_of_bundles(spark: SparkSession, name: str, bundles: list[dict], record: str, expected: T.StructType, tags: tuple[str, ...] = ()) -> Scenario:
+    """One case for each bundle: its raw rendering as the columns of schema `record`, its gold one as `expected`; the case's name is the bundle's id.
+
+    Raw renderings must be objects."""
+    if wrong := [b["bundle_id"] for b in bundles if not isinstance(b["l0"], dict)]:
+        raise TypeError(f"raw renderings must be objects, those of {', '.join(wrong)} are lists")
+    rows = [(b["bundle_id"], json.dumps(b["l0"]), json.dumps(b["l1"])) for b in bundles]
+    texts = spark.createDataFrame(rows, "name string, raw string, gold string")
+    df = texts.select("name", F.from_json("raw", record).alias("r"), F.from_json("gold", expected).alias("expected")).select("name", "r.*", "expected")
+    return Scenario(name, df, tuple(dict.fromkeys([*(t for b in bundles for t in bundle_tags(b)), *tags])))
+
+
 @dataclass(frozen=True)
 class Subject:
     """Something that converts: DataFrame with name and expected in, the same with `actual` and _error out."""

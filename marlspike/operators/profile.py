@@ -12,7 +12,7 @@ import json
 from dataclasses import dataclass
 from itertools import count
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -230,20 +230,36 @@ def representative_samples(df: DataFrame, rid: str, limit: int = 3, texts: Colum
     )
     canonical = texts if texts is not None else F.to_json(F.struct(*body))
     records = scored.join(df.select(F.col(rid).alias("rid"), canonical.alias("text"), F.to_json(F.struct(*body)).alias("record")), "rid")
+    complete = records.withColumn("completeness", F.col("values") / F.greatest(F.lit(1), F.size("paths"))).persist()  # each pick reads it
+    try:
+        picks = _greedy(complete, limit, ["text", "rid"])
+    finally:
+        complete.unpersist()
+    return [{"rid": p.rid, "score": p.score, "covered_paths": sorted(p.paths), "record": json.loads(p.record)} for p, _ in picks]
+
+
+def _greedy(records: DataFrame, limit: int, ties: list[str]) -> list[tuple[Row, list[str]]]:
+    """(row, paths that it adds) of up to `limit` rows (rid, paths, completeness, rarity ...), each with the most new paths, completeness and rarity in sum."""
     covered: list[str] = []
-    chosen: list[dict] = []
+    chosen: list[tuple[Row, list[str]]] = []
     for _ in range(limit):
         new = F.size(F.array_except("paths", F.array(*[F.lit(p) for p in covered]).cast("array<string>")))
-        score = new + F.col("values") / F.greatest(F.lit(1), F.size("paths")) + F.col("rarity")
-        left = records.where(~F.col("rid").isin([c["rid"] for c in chosen])) if chosen else records
-        best = left.select("rid", F.round(score, 9).alias("score"), F.array_sort("paths").alias("paths"), "text", "record").orderBy(F.col("score").desc(), "text", "rid").limit(1).collect()
+        left = records.where(~F.col("rid").isin([c.rid for c, _ in chosen])) if chosen else records
+        best = left.withColumn("score", F.round(new + F.col("completeness") + F.col("rarity"), 9)).orderBy(F.col("score").desc(), *ties).limit(1).collect()
         if not best:
             break
-        chosen.append({"rid": best[0].rid, "score": best[0].score, "covered_paths": best[0].paths, "record": json.loads(best[0].record)})
-        covered = sorted({*covered, *best[0].paths})
+        added = sorted(set(best[0].paths) - set(covered))
+        chosen.append((best[0], added))
+        covered += added
     return chosen
 
 
+def select_candidates(candidates: DataFrame, limit: int) -> list[dict]:
+    """Greedy picks of rows (record_id, paths, completeness, rarity), with the paths that each adds; ties go to the smaller record_id."""
+    rows = candidates.select(F.col("record_id").alias("rid"), F.array_distinct("paths").alias("paths"), "completeness", "rarity")
+    return [{"record_id": p.rid, "score": p.score, "covered_paths": added} for p, added in _greedy(rows, max(0, limit), ["rid"])]
+
+
 class EvidenceBudgetExceeded(ValueError):
     pass
 

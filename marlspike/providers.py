@@ -13,10 +13,13 @@ from string import Template
 from typing import Any, Protocol
 
 from marlspike.operators.evaluate import Ranked, rank_candidates
+from marlspike.operators.scenario import ALIASES, render_raw, sample_scenario
 from marlspike.operators.schema import SourceSchema
 from marlspike.plans.ir import Program, ProgramError
 
 STAGES = ("schema", "mapping", "repair")
+#: Of a task's fields those that each rendering must have. Fixed values.
+REQUIRED = ("entity_id", "name", "status", "duration_days")
 
 
 @dataclass(frozen=True)
@@ -130,14 +133,78 @@ class TemplateCache:
         (self.folder / f"{key}.json").write_text(json.dumps(entry, sort_keys=True, indent=2) + "\n")
 
 
-def generate_template(adapter: Adapter, cache: TemplateCache, request: dict, gates: list[Callable[[dict], str | None]], attempts: int = 2) -> dict | None:
-    """A template from the cache, or the first of `attempts` proposals that passes every gate; it is cached."""
-    key = TemplateCache.key(request=request)
+def template_issues(template: dict) -> list[str]:
+    """What the renderers don't allow: blank keys and names, and required names that are blank or twice."""
+    issues = []
+    blank = lambda v: v is not None and not str(v).strip()
+    surfaces = [("", template), *((f"shape_variants.variants[{i}].", v) for i, v in enumerate((template.get("shape_variants") or {}).get("variants") or []))]
+    for at, t in surfaces:
+        if not at and t.get("root_mode", "object") == "object" and blank(t.get("records_key")):
+            issues.append("records_key is blank")
+        if t.get("wrap_task_object") and blank(t.get("task_object_key")):
+            issues.append(f"{at}task_object_key is blank")
+        names = {**ALIASES, **(template.get("aliases") or {}), **(t.get("aliases") or {})}
+        seen: dict[str, str] = {}
+        for k in REQUIRED:
+            if blank(names[k]):
+                issues.append(f"{at}aliases.{k} is blank")
+            elif names[k] in seen:
+                issues.append(f"{at}aliases.{k} is that of {seen[names[k]]}")
+            seen[names[k]] = k
+    return issues
+
+
+def _tasks_of(raw: Any, template: dict) -> list[dict]:
+    return raw if template.get("root_mode") == "list" else raw[template.get("records_key", "records")]
+
+
+def check_template(reply: Reply, accepted: set[str], seed: int = 0, tasks: int = 3) -> tuple[dict | None, list[dict]]:
+    """(template, gates) of a proposal: parse, policy, dry_run, serialization and diversity, up to the first that it doesn't pass.
+
+    dry_run renders a sampled scenario and looks for each task's required values under the names that the template gives them;
+    diversity compares the digest of the template with those accepted before. Without a template a gate has failed."""
+    gates: list[dict] = []
+
+    def gate(name: str, wrong: list[str]) -> bool:
+        gates.append({"gate": name, "passed": not wrong, "issues": wrong})
+        return not wrong
+
+    template = reply.payload
+    if not gate("parse", [] if reply.ok and isinstance(template, dict) else [reply.error or "not an object"]):
+        return None, gates
+    if not gate("policy", template_issues(template)):
+        return None, gates
+    try:
+        scenario = sample_scenario(seed, tasks)
+        raw = render_raw(scenario, template)
+        texts = [json.dumps(r, default=str) for r in _tasks_of(raw, template)]
+        wrong = [f"task {i}: {k} is not rendered" for i, (t, text) in enumerate(zip(scenario, texts, strict=True)) for k in REQUIRED if json.dumps(getattr(t, k)) not in text]
+    except (KeyError, TypeError, ValueError, AttributeError) as err:
+        raw, wrong = None, [f"{type(err).__name__}: {err}"]
+    if not gate("dry_run", wrong):
+        return None, gates
+    try:
+        again = json.loads(json.dumps(raw, sort_keys=True)) == raw and raw == render_raw(scenario, json.loads(json.dumps(template)))
+        wrong = [] if again else ["another rendering after a round trip through JSON"]
+    except (TypeError, ValueError) as err:
+        wrong = [str(err)]
+    if not gate("serialization", wrong):
+        return None, gates
+    if not gate("diversity", ["as one accepted before"] if TemplateCache.key(template=template) in accepted else []):
+        return None, gates
+    return template, gates
+
+
+def generate_template(adapter: Adapter, cache: TemplateCache, request: dict, gates: list[Callable[[dict], str | None]] = (), attempts: int = 2, model: str = "", accepted: set[str] = frozenset()) -> dict | None:
+    """A template from the cache, or the first of `attempts` proposals that passes every gate, check_template()'s and the caller's; it is cached by model, prompt and request."""
+    prompt = render_prompt("template", fields=request, rules="")
+    key = TemplateCache.key(model=model, system=prompt.system, user=prompt.user, version=prompt.version, request=request)
     if (hit := cache.load(key)) is not None:
         return hit
     for _ in range(attempts):
-        reply = adapter.complete(render_prompt("template", fields=request, rules=""), "template")
-        if reply.ok and isinstance(reply.payload, dict) and not any(g(reply.payload) for g in gates):
-            cache.write(key, reply.payload)
-            return reply.payload
+        reply = adapter.complete(prompt, "template")
+        template, _ = check_template(reply, accepted)
+        if template is not None and not any(g(template) for g in gates):
+            cache.write(key, template)
+            return template
     return None

@@ -182,6 +182,67 @@ def test_bundles(spark, tmp_path):
         scenario.sample_scenario(1, 11)
 
 
+def test_export_layout_and_telemetry(spark, tmp_path):
+    cases = spark.createDataFrame([("run-1", "s", "p", ["a"], True, None, None), ("run-2", "s", "p", ["a"], False, True, None)], "run_id string, scenario_name string, subject_name string, tags array<string>, execution_success boolean, structural_validity boolean, semantic_validity boolean")
+    zero = F.struct(*[F.lit(0).cast("long").alias(c) for c in ("matched", "total", "matched_required", "total_required")], F.lit(0.0).alias("ratio"), F.lit(0.0).alias("required_ratio"))
+    cases = cases.withColumn("accuracy", zero)
+    rows = evaluate.tag_dimensions(evaluate.observation_metrics(cases, ["run_id", "scenario_name", "subject_name"]).withColumn("tags", F.array(F.lit("bundle_kind:drift"), F.lit("severity:high"))))
+    got = {(r.run_id, r.metric_name): r.value for r in rows.collect()}
+    assert got["run-1", "stage.runtime_validity_rate"] == 1.0 and got["run-2", "stage.structural_validity_rate"] == 1.0
+    assert ("run-1", "stage.structural_validity_rate") not in got
+    times = [{"run_id": r, "scenario_name": "s", "subject_name": "p", "metric_name": m, "value": v} for r, v in (("run-1", 0.5), ("run-2", 0.7)) for m in ("preparation_seconds", "runtime_seconds")]
+    times.append({"run_id": "run-1", "scenario_name": "s", "subject_name": "p", "case_name": "c", "metric_name": "case_runtime_seconds", "value": 0.1})
+    folder = f"file://{tmp_path}/out"
+    manifest = writers.export_experiment(cases, evaluate.summarise(rows), times, folder, "e", rows)
+    assert [r["run_id"] for r in manifest["runs"]] == ["run-1", "run-2"] and (tmp_path / "out/runs/run-2/cases").is_dir()
+    assert spark.read.option("header", True).csv(f"{folder}/summary").columns == list(writers.SUMMARY_COLUMNS) and len(writers.SUMMARY_COLUMNS) == 24
+    box = spark.read.option("header", True).csv(f"{folder}/boxplot")
+    assert box.columns == list(writers.BOXPLOT_COLUMNS) and len(box.columns) == 16 and {(r.experiment_name, r.tags) for r in box.collect()} == {("e", "bundle_kind:drift;severity:high")}
+    read = readers.telemetry_rows(spark, f"{folder}/runs/*/telemetry.json").collect()
+    assert {(r.run_id, r.case_name, r.metric_name, r.value) for r in read} == {(t["run_id"], t.get("case_name"), t["metric_name"], t["value"]) for t in times}
+
+
+def test_cases_of_bundles(spark):
+    base = scenario.build_bundle(3, 2)
+    drifted = scenario.drift_bundle(base, base["l0"], {"drift_id": "d1", "drift_type": "rename", "severity": "low", "compatibility_class": "rename_compatible", "operator_sequence": []})
+    gold = T.StructType([T.StructField("tasks", T.ArrayType(T.StructType([T.StructField("id", T.StringType()), T.StructField("name", T.StringType())])))])
+    s = evaluate.scenario_of_bundles(spark, "s", [base, drifted], "records array<struct<task_id:string,task_name:string>>", gold, ("more",))
+    assert {"synthetic", "base", "drift", "drift_type:rename", "compatibility:rename_compatible", "more"} <= set(s.tags)
+    pairs = evaluate.zip_with_gold(s.df.withColumn("gold", F.col("expected.tasks")), "records", "gold", ["name"]).collect()
+    assert len(pairs) == 4 and all(p.raw.task_id == p.gold.id and p.raw.task_name == p.gold.name for p in pairs)
+    with pytest.raises(Exception, match="same length"):
+        evaluate.zip_with_gold(s.df.withColumn("gold", F.slice("expected.tasks", 1, 1)), "records", "gold").collect()
+    with pytest.raises(TypeError, match="must be objects"):
+        evaluate.scenario_of_bundles(spark, "s", [{**base, "l0": []}], "records array<string>", gold)
+
+
+def test_candidates_and_traces(spark):
+    rows = [("b", ["x", "y"], 1.0, 0.5), ("a", ["x", "y"], 1.0, 0.5), ("c", ["z"], 0.1, 0.1), ("d", [], None, 0.0)]
+    picks = profile.select_candidates(spark.createDataFrame(rows, "record_id string, paths array<string>, completeness double, rarity double"), 3)
+    assert [(p["record_id"], p["covered_paths"]) for p in picks] == [("a", ["x", "y"]), ("b", []), ("c", ["z"])]
+    assert profile.select_candidates(spark.createDataFrame(rows, "record_id string, paths array<string>, completeness double, rarity double"), 0) == []
+    t = writers.trace_artifact("repair", validation.Attempt(1, Program.read(PROGRAM), {"case_count": 2, "runtime_seconds": 1.0}, None, "patched"))
+    assert t["version"] == "1.0" and t["payload"]["decision"] == "patched" and t["payload"]["report"] == {"case_count": 2} and t["payload"]["program"]["steps"][0]["id"] == "n"
+    assert json.loads(json.dumps(t)) == t
+
+
+def test_template_gates(tmp_path):
+    gates = lambda payload, accepted=(): [(g["gate"], g["passed"]) for g in providers.check_template(providers.Reply(True, payload), set(accepted))[1]]
+    whole = [(g, True) for g in ("parse", "policy", "dry_run", "serialization", "diversity")]
+    good = {"aliases": {"name": "title"}, "wrap_task_object": True}
+    assert gates(good) == whole and gates({"root_mode": "list"}) == whole
+    assert gates("text") == [("parse", False)]
+    for wrong in ({"records_key": " "}, {"aliases": {"name": ""}}, {"aliases": {"name": "task_id"}}, {"wrap_task_object": True, "task_object_key": ""}, {"shape_variants": {"variants": [{}, {"aliases": {"status": "task_id"}}]}}):
+        assert gates(wrong)[-1] == ("policy", False)
+    assert gates({"hidden_fields": ["status"]})[-1] == ("dry_run", False)
+    assert all(gates({"extra_fields": {"x": x}})[-1] == ("serialization", False) for x in ({1, 2}, (1, 2)))
+    assert gates(good, [providers.TemplateCache.key(template=good)])[-1] == ("diversity", False)
+    cache = providers.TemplateCache(str(tmp_path))
+    make = lambda model, *replies: providers.generate_template(providers.PreparedAdapter(list(replies)), cache, {"seed": 1}, model=model)
+    assert make("m", {"aliases": {"name": ""}}, good) == good == make("m")
+    assert make("other") is None  # another model's template is not served
+
+
 def test_schema_cards():
     want = T.StructType([T.StructField("a", T.ArrayType(T.StructType([T.StructField("b", T.IntegerType(), True, {"default": 3})])), True)])
     cards = schema.target_card(want)

@@ -2,19 +2,21 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marlspike.functions.expressions import check_expression, compile_expression
-from marlspike.functions.paths import read_path
+from marlspike.functions.paths import read_path, remove_path
 from marlspike.functions.values import Value, py_str
 from marlspike.plans.analyze import analyze, target_paths
 from marlspike.plans.compile import CompilationError, compile_program
 from marlspike.plans.ir import Program, ProgramError
+from marlspike.plans.repair import repair
 
-SCHEMA = "task_id string, task_name string, status_text string, duration_hours double, tags array<string>, owner struct<email:string>"
+SCHEMA = "sku string, label string, state string, weight double, marks array<string>, maker struct<site:string>"
 
 
 def record(spark):
-    return spark.createDataFrame([("1", None, "open", 1.5, ["a", " b "], ("x@y",))], SCHEMA)
+    return spark.createDataFrame([("K-7", None, "N", 0.25, ["p", " q "], ("m.example",))], SCHEMA)
 
 
 def build(refs, steps, assignments, **more):
@@ -28,29 +30,57 @@ def run(df, program):
 
 def test_golden_program(spark):
     program = build(
-        {"id": "task_id", "name": "task_name", "st": "status_text", "dur": "duration_hours", "tags": "tags", "mail": "owner.email"},
+        {"sku": "sku", "label": "label", "state": "state", "kg": "weight", "marks": "marks", "site": "maker.site"},
         {
-            "s1": {"kind": "copy", "source_ref": "id"},
-            "s2": {"kind": "default", "source_ref": "name", "value": "none"},
-            "s3": {"kind": "map_enum", "source_ref": "st", "mapping": {"open": "ready"}},
-            "s4": {"kind": "unit_convert", "source_ref": "dur", "from_unit": "h", "to_unit": "m", "factor": 60},
-            "s5": {"kind": "merge", "source_refs": ["tags"], "delimiter": ","},
-            "s6": {"kind": "derive", "source_refs": ["id", "mail"], "expression": "id + ':' + first_non_null(mail, 'x')"},
-            "s7": {"kind": "nest", "step_refs": ["s1", "s2"], "child_keys": {"s1": "id", "s2": "name"}},
-            "s8": {"kind": "validate", "source_ref": "dur", "predicate": "0 < value < 100"},
+            "code": {"kind": "split", "source_ref": "sku", "delimiter": "-"},
+            "named": {"kind": "default", "source_ref": "label", "value": "unnamed"},
+            "fresh": {"kind": "map_enum", "source_ref": "state", "mapping": {"N": "new", "U": "used"}},
+            "grams": {"kind": "unit_convert", "source_ref": "kg", "from_unit": "kg", "to_unit": "g", "factor": 1000},
+            "joined": {"kind": "merge", "source_refs": ["marks", "state"], "delimiter": "/"},
+            "url": {"kind": "derive", "source_refs": ["sku", "site"], "expression": "'https://' + first_non_null(site, 'none') + '/' + str(sku)"},
+            "item": {"kind": "nest", "step_refs": ["named", "fresh"], "child_keys": {"named": "title", "fresh": "condition"}},
+            "light": {"kind": "validate", "source_ref": "kg", "predicate": "0 <= value < 30"},
         },
-        {"task": "s7", "status": "s3", "duration_minutes": "s4", "metadata.tags": "s5", "metadata.summary": "s6"},
-        preconditions=[{"kind": "exists", "ref": "id"}],
+        {"item": "item", "parts": "code", "mass.grams": "grams", "mass.text": "joined", "url": "url"},
+        preconditions=[{"kind": "non_null", "ref": "sku"}],
     )
     target, error = run(record(spark), program)
-    assert target == {"task": {"id": "1", "name": "none"}, "status": "ready", "duration_minutes": 90.0, "metadata": {"tags": "a, b ", "summary": "1:x@y"}}
+    assert target == {"item": {"title": "unnamed", "condition": "new"}, "parts": ["K", "7"], "mass": {"grams": 250.0, "text": "p/ q /N"}, "url": "https://m.example/K-7"}
     assert error is None
 
 
+def test_repairs(spark):
+    want = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StructType([T.StructField("c", T.StringType()), T.StructField("d", T.ArrayType(T.StringType()))])), T.StructField("e", T.ArrayType(T.StringType()))])
+    proposal = build(
+        {"s": "sku", "l": "label"},
+        {"x": {"kind": "derive", "source_refs": ["SKU", "l"], "expression": "coalesce(s, l) + ' coalesce(x)'"}},
+        {"a": "x", "b.c": "state"},
+        preconditions=[{"ref": "label", "kind": "non_null"}, {"ref": "state", "kind": "exists"}],
+    )
+    fixed, notes = repair(proposal, record(spark).columns, want)
+    assert fixed.steps[0].operation.expression == "first_non_null(s, l) + ' coalesce(x)'" and fixed.steps[0].operation.source_refs == ("s", "l")
+    assert [c.ref for c in fixed.preconditions] == ["state"]
+    assert {a.target_path for a in fixed.assignments} == {"a", "b.c", "b.d", "e"} and not analyze(fixed, record(spark).columns)
+    target, error = run(record(spark), fixed.as_dict())
+    assert target == {"a": "K-7 coalesce(x)", "b": {"c": "N", "d": []}, "e": []} and error is None
+    again, none = repair(json.loads(json.dumps(fixed.as_dict())), record(spark).columns, want)
+    assert again == fixed and none == [] and len(notes) == 8
+    assert "nowhere" in str(repair(build({}, {}, {"a": "nowhere"}))[0].assignments)  # left for the analyzer
+
+
+def test_removed_paths(spark):
+    df = spark.createDataFrame([(((1, ("x", 2)), [(3, 4)]),), (None,)], "r struct<a:struct<b:int,c:struct<d:string,e:int>>,l:array<struct<m:int,n:int>>>")
+    texts = lambda path: [r.t for r in df.select(F.to_json(remove_path(F.col("r"), df.schema["r"].dataType, path).col).alias("t")).collect()]
+    assert texts("a.c.d") == ['{"a":{"b":1,"c":{"e":2}},"l":[{"m":3,"n":4}]}', None]
+    assert texts("a[].b")[0] == '{"a":{"c":{"d":"x","e":2}},"l":[{"m":3,"n":4}]}'
+    assert texts("l")[0] == '{"a":{"b":1,"c":{"d":"x","e":2}}}'
+    assert texts("l[].m") == texts("nowhere.b") == texts("") == ['{"a":{"b":1,"c":{"d":"x","e":2}},"l":[{"m":3,"n":4}]}', None]
+
+
 def test_errors_in_order_and_of_unassigned_steps(spark):
     df = record(spark)
     steps = {"a": {"kind": "cast", "source_ref": "st", "to_type": "int"}, "b": {"kind": "copy", "source_ref": "id"}}
-    refs = {"id": "task_id", "st": "status_text", "name": "task_name"}
+    refs = {"id": "sku", "st": "state", "name": "label"}
     assert run(df, build(refs, steps, {"x": "b"}))[1] == "a: cannot cast to int"
     first = build(refs, steps, {"x": "b"}, preconditions=[{"kind": "non_null", "ref": "name"}])
     assert run(df, first)[1].startswith("condition non_null on 'name'")
@@ -131,7 +161,7 @@ def test_text_of_values(spark):
 
 
 def test_export_is_stable(spark, tmp_path):
-    p = compile_program(build({"a": "task_id"}, {"s": {"kind": "copy", "source_ref": "a"}}, {"t": "s"}), record(spark).schema)
+    p = compile_program(build({"a": "sku"}, {"s": {"kind": "copy", "source_ref": "a"}}, {"t": "s"}), record(spark).schema)
     files = [p.export(str(tmp_path / d)) and (tmp_path / d / "manifest.json").read_bytes() for d in "ab"]
     assert files[0] == files[1]
     assert target_paths(p.target_type) == ["t"]
