@@ -201,15 +201,18 @@ def profile(df: DataFrame, format: str = "rows", root: str = "rows") -> Profile:
     fields = field_stats(counts, n).join(observed, "path").join(tops, "path", "left").join(samples, "path", "left")
     fields = fields.withColumn("cardinality", F.when(F.col("path").contains("[]") | F.exists("observed_types", lambda x: x["type"] == "list"), "many").otherwise("one"))
     fields = fields.withColumn("enum_values", F.coalesce(F.transform("top_values", lambda x: x["value"]), F.array().cast("array<string>")))
-    fields = df.sparkSession.createDataFrame(fields.collect(), fields.schema)  # a row for each path
+    rows = fields.collect()  # a row for each path
     counts.unpersist()
-    return Profile(n, fields, fingerprint(fields), format, root)
+    return Profile(n, df.sparkSession.createDataFrame(rows, fields.schema), _digest_of(rows), format, root)
 
 
 def fingerprint(fields: DataFrame) -> str:
     """SHA-256 of paths, types, optional and nullable: the same for any order, repetition or number of records."""
-    rows = fields.select("path", F.transform("observed_types", lambda x: x["type"]).alias("types"), (F.col("present_ratio") < 1).alias("optional"), (F.col("null_ratio") > 0).alias("nullable")).collect()
-    schema = sorted(({"path": r.path, "types": sorted(r.types), "optional": r.optional, "nullable": r.nullable} for r in rows), key=lambda x: x["path"])
+    return _digest_of(fields.select("path", "observed_types", "present_ratio", "null_ratio").collect())
+
+
+def _digest_of(rows: list[Row]) -> str:
+    schema = sorted(({"path": r.path, "types": sorted(t.type for t in r.observed_types), "optional": r.present_ratio < 1, "nullable": r.null_ratio > 0} for r in rows), key=lambda x: x["path"])
     return hashlib.sha256(json.dumps(schema, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
 
