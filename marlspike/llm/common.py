@@ -50,12 +50,18 @@ def _sparing(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+#: Files of a small table, for each core of the cluster.
+FILES_A_CORE = 4
+
+
+def written(df: DataFrame, label: str, few: bool = False) -> DataFrame:
     """df, written once to the shared folder as Parquet and read again: lineage ends here, a lost executor costs no recomputation,
-    and the shuffles behind it are deleted at once."""
+    and the shuffles behind it are deleted at once.
+
+    few: the table holds numbers and no texts, and goes to FILES_A_CORE files a core at most, whatever the number of shuffle partitions."""
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
     with _sparing(spark):
-        df.write.parquet(path)
+        (df.coalesce(FILES_A_CORE * spark.sparkContext.defaultParallelism) if few else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path
     return out

@@ -44,7 +44,7 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", carry
             .where("size > 1")
             .withColumn("next", F.monotonically_increasing_id())
         )
-        groups = written(groups, "radix-groups")  # fixes the numbers of the groups
+        groups = written(groups, "radix-groups", few=True)  # fixes the numbers of the groups
         # sorted and merged at every size: a plan that changes with the size of the groups can't be measured on a small input
         split = cut.hint("merge").join(groups, ["gid", "block", "ended"], "left")
         resolved = F.col("size").isNull() | F.col("ended")

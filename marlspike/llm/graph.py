@@ -18,7 +18,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Links of an id with itself and nulls are ignored. A node's links are never gathered: its smallest neighbour is a map-side
     combined minimum, and goes back by a join. Each round is written, and one number of it comes to the driver."""
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
-    edges = written(edges, "cc")
+    edges = written(edges, "cc", few=True)
     state = _state(edges)
     while state[0]:
         both = edges.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(edges.select(F.col("v").alias("x"), F.col("u").alias("y")))
@@ -27,7 +27,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        before, edges = edges, written(small, "cc")
+        before, edges = edges, written(small, "cc", few=True)
         delete(before)
         last, state = state, _state(edges)
         if state == last:

@@ -266,7 +266,7 @@ def templates(pages: DataFrame) -> DataFrame:
         (F.min("said") < F.max("said")).alias("varies"),
         (F.min("below") < F.max("below")).alias("changes"),
     )
-    vectors = written(vectors, "html-vectors")  # a row for each token of a host; the pages are parsed once for it
+    vectors = written(vectors, "html-vectors", few=True)  # a row for each token of a host; the pages are parsed once for it
     # tokens with equal occurrence vectors are a class; a host's tokens are few beside its pages
     by_class = Window.partitionBy("host", "vector", "pages")
     valid = vectors.withColumn("tokens", F.count("*").over(by_class)).where(f"pages >= {LEAST_PAGES} AND tokens >= {LEAST_TOKENS}")
@@ -304,7 +304,7 @@ def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url",
     have any names. An empty table gives no rows."""
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     read = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), host.alias("host"), F.col(source).alias("html"))
-    found = written(templates(read.select("host", F.xxhash64("key", "url").alias("page"), "html")), "html-templates")
+    found = written(templates(read.select("host", F.xxhash64("key", "url").alias("page"), "html")), "html-templates", few=True)
     joined = read.join(found, "host", "left").select("key", "url", "html", "slots", "fixed", "wide")
     out = joined.mapInArrow(_extract, f"key {pages.schema[key].dataType.simpleString()}, url string, text string")
     return out.select(F.col("key").alias(key), F.col("url").alias(url), "text", F.length("text").cast("long").alias("n_chars"))

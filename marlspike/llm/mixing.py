@@ -60,7 +60,7 @@ def mix_queue(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
     digest = F.md5(F.concat_ws("|", F.lit(seed), F.col("k").cast("string")))
     base = base.withColumns({"h": F.conv(F.substring(digest, 1, 14), 16, 10).cast("long"), "r": F.monotonically_increasing_id()})
     base = written(base, "mix-sizes")
-    targets = written(source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), max_repeats), "mix-targets")
+    targets = written(source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), max_repeats), "mix-targets", few=True)
     bins = max(1, base.count() // ROWS_A_BIN)
     sized = base.withColumn("bin", F.floor(F.col("h") / F.lit(2.0**56 / bins)).cast("int"))
     known = targets.select(F.col("source").alias("s"), "source_size", "rank", "target")

@@ -212,7 +212,7 @@ def _links(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity) of the pairs that reach the threshold, written."""
     with_b = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     with_both = with_b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    return written(with_both.select("a", "b", "text_a", "text_b").mapInArrow(_check(threshold), "a long, b long, similarity double"), "near-links")
+    return written(with_both.select("a", "b", "text_a", "text_b").mapInArrow(_check(threshold), "a long, b long, similarity double"), "near-links", few=True)
 
 
 def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -224,7 +224,7 @@ def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     top = components(joined.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
     over = top.select(F.col("id").alias("root"), F.col("root").alias("over"))
     out = roots.join(over, "root", "left").select("id", F.coalesce("over", "root").alias("root"))
-    out = written(out.unionByName(top).distinct(), "near-roots")
+    out = written(out.unionByName(top).distinct(), "near-roots", few=True)
     delete(roots, top)
     return out
 
@@ -246,16 +246,16 @@ def _words_held(ids: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]
     with one of them. common: those of them in shingles with more than RARE places; two documents that share no rarer one have
     no more in common than these. The second table has the rarer ones. Documents without any have no row. A document's
     words are counted alone; elements meet in map-side combined aggregates."""
-    found = written(ids.join(texts, "id").select("id", "root", "n_words", "text").mapInArrow(_places, "id long, root long, n_words long, at long, element long"), "near-elements")
+    found = written(ids.join(texts, "id").select("id", "root", "n_words", "text").mapInArrow(_places, "id long, root long, n_words long, at long, element long"), "near-elements", few=True)
     shared = found.groupBy("element").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("places")).where("low < high")
-    within = written(found.hint("merge").join(shared.select("element", (F.col("places") <= RARE).alias("rare")), "element").drop("root"), "near-within")
+    within = written(found.hint("merge").join(shared.select("element", (F.col("places") <= RARE).alias("rare")), "element").drop("root"), "near-within", few=True)
     earlier = Window.partitionBy("id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)  # of one document
     width = F.least(F.lit(SHINGLE), F.col("n_words"))
     step = F.least(width, F.coalesce(F.col("at") - F.max("at").over(earlier), width))
     own = F.least(width, F.coalesce(F.col("at") - F.max(F.when(~F.col("rare"), F.col("at"))).over(earlier), width))
     stepped = within.select("id", step.alias("step"), F.when(F.col("rare"), 0).otherwise(own).alias("own"))
-    held = written(stepped.groupBy("id").agg(F.sum("step").alias("held"), F.sum("own").alias("common")), "near-held")
-    rare = written(within.where("rare").select("id", "element").distinct(), "near-rare")
+    held = written(stepped.groupBy("id").agg(F.sum("step").alias("held"), F.sum("own").alias("common")), "near-held", few=True)
+    rare = written(within.where("rare").select("id", "element").distinct(), "near-rare", few=True)
     delete(found, within)
     return held, rare
 
@@ -277,7 +277,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", thresh
     signed = written(numbered.mapInArrow(_sign(bands, rows), f"id long, k {kind}, d1 long, d2 long, n_words long, bands array<long>"), "near-signed")
     same = ["d1", "d2", "n_words"]
     # one document stands for all with the same words
-    reps = written(signed.groupBy(*same).agg(F.min("id").alias("rep")), "near-reps")
+    reps = written(signed.groupBy(*same).agg(F.min("id").alias("rep")), "near-reps", few=True)
     signed_reps = signed.where("n_words > 0").select("id", "n_words", "bands").join(reps.select(F.col("rep").alias("id")), "id", "left_semi")
     members = written(signed_reps.select("id", "n_words", F.explode("bands").alias("band")), "near-bands")
     texts, roots, active = numbered.select("id", "text"), None, members.withColumn("root", F.col("id"))
@@ -286,20 +286,20 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", thresh
         order = F.struct(F.xxhash64("id", F.lit(turn), F.col("band") if turn else F.lit(0)), "id")
         leads = active.groupBy("band").agg(F.min_by(F.struct("id", "n_words", "root"), order).alias("lead"), F.min("root").alias("low"), F.max("root").alias("high"))
         # a bucket of one root is done; merged at every size, so that a hot band is split
-        led = written(active.hint("merge").join(leads.where("low < high").select("band", "lead"), "band"), "near-led")
+        led = written(active.hint("merge").join(leads.where("low < high").select("band", "lead"), "band"), "near-led", few=True)
         pairs = led.where((F.col("root") != F.col("lead.root")) & _near_size(F.col("n_words"), F.col("lead.n_words"), threshold))
         links = _links(pairs.select(F.least("lead.id", "id").alias("a"), F.greatest("lead.id", "id").alias("b")).distinct(), texts, threshold)
         roots = _merged(roots, links)
         # a leader is done with its bucket
         left = led.where("id <> lead.id").select("band", "id", "n_words").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        active = written(left.select("band", "id", "n_words", "root"), "near-active")
+        active = written(left.select("band", "id", "n_words", "root"), "near-active", few=True)
         delete(members, led, links)
         members = active
     active = _mixed(active)
     delete(members)
     if not active.isEmpty():
         large = active.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > PAIRS_UP_TO).select("band", F.lit(True).alias("large"))
-        sized = written(active.hint("merge").join(large, "band", "left"), "near-sized")
+        sized = written(active.hint("merge").join(large, "band", "left"), "near-sized", few=True)
         large_ids = sized.where("large").select("id", "root", "n_words").distinct()
         held, rare = _words_held(large_ids, texts)
         hot = sized.where("large").hint("merge").join(held, "id").withColumn("most", F.col("common"))
@@ -307,18 +307,18 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", thresh
         columns = ["id", "root", "n_words", "most"]
         likely = F.col("most") >= threshold * F.col("n_words") - 1e-9
         rest = _mixed(few.select("band", *columns).unionByName(hot.select("band", *columns)).where(likely))
-        by_element = written(rare.join(large_ids.join(held, "id"), "id").select("element", "id", "root", "n_words", F.col("held").alias("most")).where(likely), "near-rare")
+        by_element = written(rare.join(large_ids.join(held, "id"), "id").select("element", "id", "root", "n_words", F.col("held").alias("most")).where(likely), "near-rare", few=True)
         pairs = _in_reach(rest, "band", threshold).unionByName(_in_reach(by_element, "element", threshold)).distinct()
         links = _links(pairs, texts, threshold)
         roots = _merged(roots, links)
         delete(sized, held, rare, rest, by_element, links)
-    classes = written(reps.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select(*same, F.coalesce("root", "rep").alias("root")), "near-classes")
+    classes = written(reps.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select(*same, F.coalesce("root", "rep").alias("root")), "near-classes", few=True)
     delete(active, reps, roots)
     tagged = signed.select("id", "k", *same).join(classes, same).select("id", "k", "root")
     order = F.struct(F.col("k").isNull().alias("n"), F.col("k").alias("k"), F.col("id").alias("id"))
     heads = tagged.groupBy("root").agg(F.min(order).alias("head"), F.count("*").alias("class_size"))
     out = tagged.join(heads, "root").select("id", "k", F.col("head.k").alias("class_id"), "class_size", (F.col("id") == F.col("head.id")).alias("kept"))
-    out = written(out, "near-classes")
+    out = written(out, "near-classes", few=True)
     delete(signed, classes)
     if carry:
         rows_of = docs.select(F.monotonically_increasing_id().alias("id"), F.struct(*[docs[c] for c in carry]).alias("row"))
@@ -337,7 +337,7 @@ def _in_reach(members: DataFrame, group: str, threshold: float) -> DataFrame:
 def _mixed(members: DataFrame) -> DataFrame:
     """Of rows (band, id, n_words, root ...) those of bands with several roots, written."""
     mixed = members.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
-    return written(members.hint("merge").join(mixed, "band", "left_semi"), "near-active")
+    return written(members.hint("merge").join(mixed, "band", "left_semi"), "near-active", few=True)
 
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -383,7 +383,7 @@ def _sort(rows: DataFrame, entries_of, n_keys: int, n_bytes: int, length: int, g
     runs = written(rows.mapInArrow(_runs(entries_of, splitters), "part int, block binary"), "suffix-runs")
     merged_rows = written(runs.where("part >= 0").groupBy("part").applyInArrow(_merge(length, gram), _MERGED), "suffix-merged")
     local = runs.where("part < 0").select("block").mapInArrow(_local_spans, "id long, start long, stop long")
-    spans = written(local.unionByName(merged_rows.where("kind = 0").select("id", "start", "stop")), "suffix-spans")
+    spans = written(local.unionByName(merged_rows.where("kind = 0").select("id", "start", "stop")), "suffix-spans", few=True)
     delete(runs)
     windows = merged_rows.where("kind = 1").select("ord", "id", F.col("start").alias("at"), "before", F.col("stop").alias("after"), "text")
     windows._written_path = merged_rows._written_path
@@ -449,7 +449,7 @@ def repeated_spans(numbered: DataFrame, length: int = LENGTH, gram: int = GRAM)
     n_windows = windows.agg(F.sum(F.col("before") + F.col("after") - length + 1)).first()[0]
     if n_windows:
         more, none = _sort(windows, lambda part: _entries_of_windows(part, length), n_windows, n_windows * length, length, None)
-        both = written(spans.unionByName(more), "suffix-spans")
+        both = written(spans.unionByName(more), "suffix-spans", few=True)
         delete(spans, more, none)
         spans = both
     delete(windows)
@@ -474,7 +474,7 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     lists = spans.groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("found"))  # bounded by the document's length
     mode = 0 if keep_text else -1
     cut = texts.select("id", "text").join(lists, "id").select("id", "text", "found").mapInArrow(_cut(mode), f"id long, n_removed long, n_spans long, kept {'binary' if keep_text else 'string'}")
-    cut = written(cut, "suffix-cut")
+    cut = written(cut, "suffix-cut", few=not keep_text)
     delete(texts, spans)
     whole = docs.select(F.monotonically_increasing_id().alias("id"), F.col(key).alias("k"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("text"))
     whole = whole.select("id", "k", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"), *["text"] * keep_text)

@@ -99,13 +99,13 @@ def scan_token_files(files: DataFrame, separator: int = SEPARATOR, width: int =
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     blocks = files.select("file").where("file IS NOT NULL").distinct().mapInArrow(cut, "file string, begin long, n long").repartition(tasks, "file", "begin")
     blocks = blocks.mapInArrow(scan, "file string, begin long, n long, first long, last long, inner array<long>, ends long")
-    blocks = written(blocks, "token-blocks")
+    blocks = written(blocks, "token-blocks", few=True)
     # the scan over a file's blocks moves a few numbers of each, and not their counts
     before = Window.partitionBy("file").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("file")
     slim = blocks.select("file", "begin", "n", "last", "ends")
     slim = slim.withColumns({"base": F.coalesce(F.sum("ends").over(before), F.lit(0)), "previous": F.coalesce(F.max("last").over(before), F.lit(-1)), "end": F.max(F.col("begin") + F.col("n")).over(upto), "final": F.max("last").over(upto), "all": F.sum("ends").over(upto)})
-    slim = written(slim.drop("n", "last", "ends"), "token-stitches")
+    slim = slim.drop("n", "last", "ends")
     stitched = slim.join(blocks, ["file", "begin"])
     counts = F.concat(F.array(F.col("first") - F.col("previous") - 1), "inner")
     ended = stitched.where("ends > 0").select("file", "base", F.posexplode(counts).alias("i", "n_tokens"))
