@@ -58,7 +58,7 @@ def written(df: DataFrame, label: str, few: bool = False) -> DataFrame:
     """df, written once to the shared folder as Parquet and read again: lineage ends here, a lost executor costs no recomputation,
     and the shuffles behind it are deleted at once.
 
-    few: the table holds numbers and no texts, and goes to FILES_A_CORE files a core at most, whatever the number of shuffle partitions."""
+    few: no texts go into the table or the stage before it, which has FILES_A_CORE tasks and files a core at most, whatever the number of shuffle partitions."""
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
     with _sparing(spark):
         (df.coalesce(FILES_A_CORE * spark.sparkContext.defaultParallelism) if few else df).write.parquet(path)
