@@ -76,6 +76,20 @@ def delete(*tables: DataFrame) -> None:
             at.getFileSystem(conf).delete(at, True)
 
 
+#: A key with this part of a table's rows or more is joined by a broadcast; there are as many such keys at most.
+HOT = 1000
+
+
+def with_counts(rows: DataFrame, counts: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """rows joined with counts: one row for each of some keys, in n the number of its rows.
+
+    Both are written tables, as each is read several times. Keys with a HOT-th of all rows or more, HOT keys at most, are
+    broadcast, so that their rows stay where they are; the others meet in a shuffle, in groups below that size."""
+    hot = F.col(n) * HOT >= rows.count()
+    rest = rows.join(F.broadcast(counts.where(hot).select(key)), key, "left_anti")
+    return rows.join(F.broadcast(counts.where(hot)), key).unionByName(rest.join(counts.where(~hot), key))
+
+
 _ROW_LOCAL = re.compile(r"(Project|Filter|FileScan|Scan parquet|ColumnarToRow|Union)\b")
 
 

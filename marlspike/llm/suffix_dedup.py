@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlspike.llm.common import delete, flat, mix64, settled, slices, written
+from marlspike.llm.common import delete, flat, mix64, settled, slices, with_counts, written
 
 LENGTH = 100
 GRAM = 32  # a multiple of 8; short strings repeat by chance and would bring most anchors to the sort
@@ -429,9 +429,11 @@ def _anchor_rows(length: int, gram: int):
 
 def _repeated_anchors(found: DataFrame) -> DataFrame:
     """(id, found): each document's anchors whose gram occurs elsewhere; a list is bounded by its document's length."""
-    twice = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    twice = written(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "suffix-grams", few=True)
     place = F.struct("at", "before", "after")
-    return written(found.join(twice, "gram").groupBy("id").agg(F.collect_list(place).alias("found")), "suffix-lists")
+    lists = written(with_counts(found, twice, "gram").groupBy("id").agg(F.collect_list(place).alias("found")), "suffix-lists")
+    delete(twice)
+    return lists
 
 
 def repeated_spans(numbered: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
