@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlspike.llm.common import delete, flat, lowered, mix64, settled, slices, words, written
+from marlspike.llm.common import delete, flat, lowered, mix64, settled, slices, with_counts, words, written
 from marlspike.llm.graph import components
 
 SHINGLE = 5
@@ -248,7 +248,8 @@ def _words_held(ids: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]
     words are counted alone; elements meet in map-side combined aggregates."""
     found = written(ids.join(texts, "id").select("id", "root", "n_words", "text").mapInArrow(_places, "id long, root long, n_words long, at long, element long"), "near-elements")
     shared = found.groupBy("element").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("places")).where("low < high")
-    within = written(found.hint("merge").join(shared.select("element", (F.col("places") <= RARE).alias("rare")), "element").drop("root"), "near-within", few=True)
+    shared = written(shared.select("element", "places"), "near-shared", few=True)
+    within = written(with_counts(found, shared, "element", "places").select("id", "n_words", "at", "element", (F.col("places") <= RARE).alias("rare")), "near-within", few=True)
     earlier = Window.partitionBy("id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)  # of one document
     width = F.least(F.lit(SHINGLE), F.col("n_words"))
     step = F.least(width, F.coalesce(F.col("at") - F.max("at").over(earlier), width))
@@ -256,7 +257,7 @@ def _words_held(ids: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]
     stepped = within.select("id", step.alias("step"), F.when(F.col("rare"), 0).otherwise(own).alias("own"))
     held = written(stepped.groupBy("id").agg(F.sum("step").alias("held"), F.sum("own").alias("common")), "near-held", few=True)
     rare = written(within.where("rare").select("id", "element").distinct(), "near-rare", few=True)
-    delete(found, within)
+    delete(found, shared, within)
     return held, rare
 
 
@@ -284,16 +285,16 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", thresh
     for turn in range(LEADER_ROUNDS):
         # first one order of all documents: few leaders in all, and most pairs are the same in several buckets; then each bucket its own
         order = F.struct(F.xxhash64("id", F.lit(turn), F.col("band") if turn else F.lit(0)), "id")
-        leads = active.groupBy("band").agg(F.min_by(F.struct("id", "n_words", "root"), order).alias("lead"), F.min("root").alias("low"), F.max("root").alias("high"))
-        # a bucket of one root is done; merged at every size, so that a hot band is split
-        led = written(active.hint("merge").join(leads.where("low < high").select("band", "lead"), "band"), "near-led", few=True)
+        leads = active.groupBy("band").agg(F.min_by(F.struct("id", "n_words", "root"), order).alias("lead"), F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
+        leads = written(leads.where("low < high").select("band", "lead", "n"), "near-leads", few=True)  # a bucket of one root is done
+        led = written(with_counts(active, leads, "band").drop("n"), "near-led", few=True)
         pairs = led.where((F.col("root") != F.col("lead.root")) & _near_size(F.col("n_words"), F.col("lead.n_words"), threshold))
         links = _links(pairs.select(F.least("lead.id", "id").alias("a"), F.greatest("lead.id", "id").alias("b")).distinct(), texts, threshold)
         roots = _merged(roots, links)
         # a leader is done with its bucket
         left = led.where("id <> lead.id").select("band", "id", "n_words").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
         active = written(left.select("band", "id", "n_words", "root"), "near-active", few=True)
-        delete(members, led, links)
+        delete(members, leads, led, links)
         members = active
     active = _mixed(active)
     delete(members)
