@@ -40,6 +40,8 @@ THRESHOLD = 0.8
 #: probability 0.002, at 0.8 with 1e-8.
 BANDS, ROWS = 36, 4
 LEADER_ROUNDS = 2
+#: Bytes of text whose shingles a task holds at a time; arrays beside them take some 50 times as much.
+PART_BYTES = 1 << 19
 #: In buckets with more documents than this, words held by others are counted before pairs are made.
 PAIRS_UP_TO = 16
 #: A shingle with up to so many places among these documents is rare, and makes pairs.
@@ -185,7 +187,7 @@ def sequence_digests(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def _sign(bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PART_BYTES):
                 data, offsets = flat(part.column(2))
                 row, code, _, n = shingles(data, offsets)
                 digest = sequence_digests(data, offsets)
@@ -232,7 +234,7 @@ def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, root, n_words, at, element): each shingle with its first word's number in the document."""
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", PART_BYTES):
             row, code, at, n = shingles(*flat(part.column(3)))
             at = at - (np.cumsum(n) - n)[row]
             ids = part.select(["id", "root", "n_words"]).take(pa.array(row))
