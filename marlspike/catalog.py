@@ -13,8 +13,8 @@ from marlspike.operators import drift, evaluate, patch, profile, scenario, schem
 from marlspike.plans import repair
 from marlspike.plans.compile import ERROR, CompiledProgram, compile_program
 from marlspike.plans.ir import Program
-from marlspike.sources import readers, writers
-from marlspike.streaming.mapping import map_stream
+from marlspike.sources import readers, shared, writers
+from marlspike.streaming.mapping import map_stream, write_all
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -730,10 +730,10 @@ def stream_map_equiv(spark, sf_dir):
     batch = spark.read.parquet(path)
     unit = {"kind": "unit_convert", "source_ref": "v", "from_unit": "a", "to_unit": "b", "factor": 2.0}
     p = compile_program(program({"e": "event_id", "t": "event_type", "v": "value"}, {"e": {"kind": "copy", "source_ref": "e"}, "t": {"kind": "copy", "source_ref": "t"}, "d": unit}, {"event_id": "e", "kind": "t", "twice": "d"}), batch.schema)
-    name = "stream_map_" + "".join(c if c.isalnum() else "_" for c in path)
     # a stream reads folders: of a table that is one file, its folder's file of that name
     folder, only = (path, "*") if readers.is_folder(spark, path) else (sf_dir, "events.parquet")
     stream = spark.readStream.schema(batch.schema).option("pathGlobFilter", only).parquet(folder)
-    q = map_stream(stream, p).writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select("target.*")
+    mapped, out, log = map_stream(stream, p), shared.new_path(spark, "stream-map"), shared.new_path(spark, "stream-log")
+    write_all(mapped, out, log).awaitTermination()
+    shared.remove(spark, log)
+    return spark.read.schema(mapped.schema).parquet(out).select("target.*")

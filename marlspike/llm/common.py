@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -13,25 +11,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlspike.sources.shared import new_path, remove
+
 #: White space of the contracts: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one of our own in local mode (tests); on a cluster that is an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="marlspike-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/marlspike/{label}-{uuid.uuid4().hex}"
-
-
 #: Spark's own settings while a table is written: the shuffle files behind it go when it is, and no more than so many texts, a few MB,
 #: are in one Arrow batch, which is outside of an executor's heap.
 _CLEANUP, _BATCH, _BATCH_ROWS = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
@@ -71,9 +56,7 @@ def delete(*tables: DataFrame) -> None:
     """Remove tables that written() made and that no plan reads any more."""
     for df in tables:
         if path := getattr(df, "_written_path", None):
-            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
+            remove(df.sparkSession, path)
 
 
 #: A key with this part of a table's rows or more is joined by a broadcast; there are as many such keys at most.

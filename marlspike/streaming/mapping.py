@@ -17,6 +17,11 @@ def map_stream(stream: DataFrame, program: CompiledProgram, keep: list[str] = ()
     return program.transform(stream, keep=keep)
 
 
+def write_all(mapped: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """All available records to one Parquet folder, the target with its _error, then stop. Rows go from the executors to files, none to the driver."""
+    return mapped.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def write_split(mapped: DataFrame, good: str, bad: str, checkpoint: str) -> StreamingQuery:
     """Good records to one Parquet folder, quarantined ones to another, all available data, then stop.
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlspike import providers
+from marlspike import catalog, providers
 from marlspike.operators import drift, evaluate, patch, profile, scenario, schema, synthetic, validation
 from marlspike.operators.contract import issues_column, normalised_output
 from marlspike.plans.compile import compile_program
@@ -275,3 +275,14 @@ def test_streams(spark, tmp_path):
     reports = []
     watch_drift(stream.drop("task_id"), profile.profile(batch), lambda n, r: reports.append(r.classification), f"{tmp_path}/c2").awaitTermination()
     assert reports == ["breaking_change"]
+
+
+def test_the_mapped_stream_stays_in_files(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartition(3).write.parquet(f"{tmp_path}/some/events.parquet")
+    events.limit(0).write.parquet(f"{tmp_path}/none/events.parquet")
+    out, again = (catalog.queries()["stream_map_equiv"](spark, f"{tmp_path}/some") for _ in range(2))
+    assert out.inputFiles() and set(out.inputFiles()).isdisjoint(again.inputFiles())  # a memory sink holds all rows on the driver
+    want = sorted(events.selectExpr("event_id", "event_type", "value * 2").collect())
+    assert sorted(out.collect()) == want == sorted(again.collect())
+    assert catalog.queries()["stream_map_equiv"](spark, f"{tmp_path}/none").count() == 0
