@@ -66,11 +66,15 @@ HOT = 1000
 def with_counts(rows: DataFrame, counts: DataFrame, key: str, n: str = "n") -> DataFrame:
     """rows joined with counts: one row for each of some keys, in n the number of its rows.
 
-    Both are written tables, as each is read several times. Keys with a HOT-th of all rows or more, HOT keys at most, are
-    broadcast, so that their rows stay where they are; the others meet in a shuffle, in groups below that size."""
+    Both are written tables, as each is read several times. Keys with a HOT-th of all rows or more, HOT keys at most, come to
+    the driver; their counts are broadcast, so that their rows stay where they are. The others meet in a shuffle, in groups
+    below that size. Each row is read by one of the two joins, and comes out of it once at most."""
     hot = F.col(n) * HOT >= rows.count()
-    rest = rows.join(F.broadcast(counts.where(hot).select(key)), key, "left_anti")
-    return rows.join(F.broadcast(counts.where(hot)), key).unionByName(rest.join(counts.where(~hot), key))
+    keys = [r[0] for r in counts.where(hot).select(key).collect()]
+    if not keys:
+        return rows.join(counts, key)
+    of_hot = F.col(key).isin(keys)
+    return rows.where(of_hot).join(F.broadcast(counts.where(hot)), key).unionByName(rows.where(~of_hot).join(counts.where(~hot), key))
 
 
 _ROW_LOCAL = re.compile(r"(Project|Filter|FileScan|Scan parquet|ColumnarToRow|Union)\b")

@@ -1,13 +1,15 @@
 import hashlib
 import random
 import re
+import uuid
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from marlspike.llm import exact_dedup, near_dedup, suffix_dedup
+from marlspike.llm import common, exact_dedup, near_dedup, suffix_dedup
 from marlspike.llm.common import flat
 from marlspike.llm.graph import components
 
@@ -270,3 +272,23 @@ def test_loser_tree_merges_in_order():
     out = list(suffix_dedup.merged(runs))
     assert [k for k, *_ in out] == sorted(k for run in runs for k in run.keys)
     assert all(s == suffix_dedup.common(a, b) for (a, *_), (b, s, _) in zip(out, out[1:], strict=False))
+
+
+def test_counts_join_reads_hot_keys_apart_and_each_row_once(spark, tmp_path):
+    def put(df, name):
+        df.write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    def joined(rows):
+        counts = put(rows.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"), f"n{uuid.uuid4().hex}")
+        out = common.with_counts(rows, counts, "g")
+        assert "LeftAnti" not in out._jdf.queryExecution().toString()  # all other rows would pass a join more
+        return sorted((r.g, r.i, r.n) for r in out.collect())
+
+    groups = [7] * 400 + [i // 3 for i in range(6000, 9000)] + [-1, None]  # one hot key, others of three rows, keys without a count, a null
+    rows = put(spark.createDataFrame([(g, i) for i, g in enumerate(groups)], "g long, i long"), "rows")
+    size = Counter(groups)
+    assert joined(rows) == sorted((g, i, size[g]) for i, g in enumerate(groups) if g is not None and size[g] > 1)
+    cold = put(spark.createDataFrame([(i // 2, i) for i in range(4000)], "g long, i long"), "cold")
+    assert joined(cold) == [(i // 2, i, 2) for i in range(4000)]
+    assert joined(rows.limit(0)) == []
